@@ -282,8 +282,8 @@ def _merged(spans: list) -> list[tuple[int, int]]:
     return out
 
 
-def deduplicated(docs: DataFrame, columns: list[str], length: int = 400, hot: int = HOT) -> DataFrame:
-    """The columns of docs with data (the bytes left of text), n_bytes, n_removed, n_spans.
+def deduplicated(docs: DataFrame, columns: list[str], length: int = 400, hot: int = HOT, as_text: bool = False) -> DataFrame:
+    """The columns of docs with data (the bytes left of text; as_text: a string without the halves of characters that were cut), n_bytes, n_removed, n_spans.
 
     Every byte covered by a string of `length` bytes that also starts elsewhere, in the same text or another, is removed; strings are judged
     on the input and never cross texts. Null texts are empty; texts shorter than `length` stay whole; rows with equal
@@ -303,9 +303,9 @@ def deduplicated(docs: DataFrame, columns: list[str], length: int = 400, hot: in
                 if merged:
                     ends = [0, *(e for _, e in merged)]
                     text = b"".join(text[a:b] for a, b in zip(ends, [*(s for s, _ in merged), len(text)]))
-                data.append(text)
                 gone.append(sizes[-1] - len(text))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(data, pa.binary()), *(pa.array(x, pa.int64()) for x in (sizes, gone, runs))], names=names)
+                data.append(text.decode("utf-8", "ignore") if as_text else text)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(data, pa.string() if as_text else pa.binary()), *(pa.array(x, pa.int64()) for x in (sizes, gone, runs))], names=names)
 
     from pyspark.sql import types as T
 
@@ -314,7 +314,7 @@ def deduplicated(docs: DataFrame, columns: list[str], length: int = 400, hot: in
     keyed = docs.select(*columns, F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_k1"), F.xxhash64(text).alias("_k2"), text.cast("binary").alias("_data"))
     joined = keyed.join(spans, (F.col("_k1") == spans["k1"]) & (F.col("_k2") == spans["k2"]), "left").select(*columns, "_data", "spans")
     longs = [T.StructField(x, T.LongType()) for x in names[-3:]]
-    return joined.mapInArrow(cut, T.StructType([*(docs.schema[c] for c in columns), T.StructField("data", T.BinaryType()), *longs]))
+    return joined.mapInArrow(cut, T.StructType([*(docs.schema[c] for c in columns), T.StructField("data", T.StringType() if as_text else T.BinaryType()), *longs]))
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
