@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,8 +33,15 @@ def _shingler(width: int):
     """text -> sorted distinct 64-bit hashes of its shingles of `width` words; shorter texts are one shingle; no words, none."""
     import xxhash
 
-    cache: dict[bytes, int] = {}
-    odd = [np.uint64((2 * k + 1) * 0x9E3779B97F4A7C15 % 2**64) for k in range(1, width + 1)]
+    class Codes(dict):
+        def __missing__(self, word: bytes) -> int:
+            if len(self) > 500_000:
+                self.clear()
+            code = self[word] = xxhash.xxh3_64_intdigest(word) - 2**63
+            return code
+
+    code_of = Codes().__getitem__
+    odd = np.random.default_rng(31).integers(0, 2**64, width, np.uint64) | np.uint64(1)
 
     def shingles(text: bytes) -> np.ndarray:
         words = text.lower().split()  # bytes: A-Z only, and the six ASCII spaces
@@ -41,20 +49,14 @@ def _shingler(width: int):
             return np.zeros(0, np.uint64)
         if len(words) < width:
             return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
-        if len(cache) > 500_000:
-            cache.clear()
-        codes = []
-        for w in words:
-            c = cache.get(w)
-            if c is None:
-                c = cache[w] = xxhash.xxh3_64_intdigest(w)
-            codes.append(c)
-        code = np.array(codes, np.uint64)
+        code = np.fromiter(map(code_of, words), np.int64, len(words)).view(np.uint64)
         n = len(code) - width + 1
-        h = mixed(code[:n] * odd[0])
+        h = code[:n] * odd[0]
         for k in range(1, width):
-            h = mixed((h ^ code[k : k + n]) * odd[k])
-        return np.unique(h)
+            h += code[k : k + n] * odd[k]
+        h = mixed(h)
+        h.sort()
+        return h[np.append(True, h[1:] != h[:-1])]
 
     return shingles
 
@@ -73,18 +75,26 @@ def difference(top: int, percent: int) -> int:
     return (100 - percent) * 2 * top // (100 + percent)
 
 
-def piece_keys(shingles: np.ndarray, band: int, top: int, percent: int) -> np.ndarray:
-    """Keys of the d + 1 pieces of a set's parity sketch in a band: 64 bits for each piece, whose bit flips are folded by XOR."""
+def piece_keys(shingles: np.ndarray, band: int, top: int, percent: int, flips: np.ndarray | None = None) -> np.ndarray:
+    """Keys of the d + 1 pieces of a set's parity sketch in a band: 64 bits for each piece, whose bit flips are folded by XOR.
+
+    shingles are sorted hashes, so their upper halves name the pieces in order. flips: folds() of them, if at hand.
+    """
     pieces = difference(top, percent) + 1
-    h = mixed(shingles ^ np.uint64(0xA0761D6478BD642F))
-    which = ((h >> np.uint64(32)) * np.uint64(pieces)) >> np.uint64(32)  # even split of the upper half
-    order = np.argsort(which, kind="stable")
-    starts = np.searchsorted(which[order], np.arange(pieces + 1, dtype=np.uint64))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(mixed(h * np.uint64(3))[order])])
-    parity = sums[starts[1:]] ^ sums[starts[:-1]]
+    which = ((shingles >> np.uint64(32)) * np.uint64(pieces)) >> np.uint64(32)
+    sums = folds(shingles) if flips is None else flips
+    at = np.searchsorted(which, np.arange(pieces + 1, dtype=np.uint64))
+    parity = sums[at[1:]] ^ sums[at[:-1]]
     return mixed(parity + np.arange(pieces, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((band + 1) * 0xC2B2AE3D27D4EB4F % 2**64))
 
 
+def folds(shingles: np.ndarray) -> np.ndarray:
+    """Running XOR of what each shingle flips."""
+    out = np.zeros(len(shingles) + 1, np.uint64)
+    np.bitwise_xor.accumulate(mixed(shingles ^ np.uint64(0xA0761D6478BD642F)), out=out[1:])
+    return out
+
+
 def parity_bits(shingles: np.ndarray, words: int) -> np.ndarray:
     """The sketch itself, of 64 * words bits: for filtering pairs by Hamming distance."""
     h = mixed(shingles ^ np.uint64(0x8EBC6AF09C88C6E3))
@@ -94,39 +104,38 @@ def parity_bits(shingles: np.ndarray, words: int) -> np.ndarray:
     return out
 
 
-def _signatures(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n (size of the set) and sig, a 64-bit hash of the whole set; sig is null for empty sets."""
-    import xxhash
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = _shingler(width)
-        for batch in batches:
-            sets = [shingles(t.as_py() or b"") for t in batch.column(1)]
-            sigs = [signed(np.array([xxhash.xxh3_64_intdigest(s.tobytes())], np.uint64)).item() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.int64())], names=["doc_id", "n", "sig"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(sign, "doc_id long, n long, sig long")
-
-
 def _pieces(docs: DataFrame, width: int, percent: int, buckets: int) -> DataFrame:
-    """bucket, keys, sigs: piece keys with their sets' signatures, packed by bucket; equal sets of a batch once."""
+    """Two kinds of rows. With keys: bucket, keys, sigs: piece keys with their sets' signatures, packed by bucket; equal sets of a batch once.
+
+    Without keys: doc_id, n (size of the set), sig (a 64-bit hash of it, null if empty) and a bucket that means nothing.
+    """
     import xxhash
 
+    names = ["bucket", "keys", "sigs", "doc_id", "n", "sig"]
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, (band_of, top_of) = _shingler(width), bands(percent)
         for batch in batches:
-            keys, sigs, done = [], [], set()
-            for t in batch.column(0):
+            keys, sigs, done, sizes, own_sigs = [], [], set(), [], []
+            for t in batch.column(1):
                 s = shingles(t.as_py() or b"")
-                sig = xxhash.xxh3_64_intdigest(s.tobytes())
-                if not len(s) or sig in done:
+                sizes.append(len(s))
+                if not len(s):
+                    own_sigs.append(None)
+                    continue
+                sig = xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63
+                own_sigs.append(sig)
+                if sig in done:
                     continue
                 done.add(sig)
-                own = band_of(len(s))
+                own, flips = band_of(len(s)), folds(s)
                 for band in (own, own + 1):  # the larger set of a pair is in its own band or in the next
-                    k = piece_keys(s, band, top_of(band), percent)
+                    k = piece_keys(s, band, top_of(band), percent, flips)
                     keys.append(k)
-                    sigs.append(np.full(len(k), sig, np.uint64))
+                    sigs.append(np.full(len(k), sig, np.int64))
+            rows = batch.num_rows
+            spread = np.arange(rows, dtype=np.int64) * 7919 % buckets
+            yield pa.RecordBatch.from_arrays([pa.array(spread), pa.nulls(rows, pa.binary()), pa.nulls(rows, pa.binary()), batch.column(0), pa.array(sizes, pa.int64()), pa.array(own_sigs, pa.int64())], names=names)
             if not keys:
                 continue
             key, sig = np.concatenate(keys), np.concatenate(sigs)
@@ -138,13 +147,14 @@ def _pieces(docs: DataFrame, width: int, percent: int, buckets: int) -> DataFram
                 part = cuts[at : at + 5001]
                 offsets = pa.array(((part - part[0]) * 8).astype(np.int32))
                 pack = lambda x: pa.BinaryArray.from_buffers(pa.binary(), len(part) - 1, [None, offsets.buffers()[1], pa.py_buffer(x[part[0] : part[-1]].tobytes())])  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[part[:-1]].astype(np.int64)), pack(key), pack(sig)], names=["bucket", "keys", "sigs"])
+                empty = pa.nulls(len(part) - 1, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[part[:-1]].astype(np.int64)), pack(key), pack(sig), empty, empty, empty], names=names)
 
-    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(cut, "bucket long, keys binary, sigs binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(cut, "bucket long, keys binary, sigs binary, doc_id long, n long, sig long")
 
 
 def _groups(pieces: DataFrame, buckets: int, chunk: int = 4 << 20) -> DataFrame:
-    """gid, sig: signatures that meet on a piece, each set of them once per bucket.
+    """gid, sig: signatures that meet on a piece, each set of them once per bucket; and the rows doc_id, n, sig of pieces as they are, with a null gid.
 
     A bucket that a hot key makes longer than `chunk` keys is worked off in chunks, each of which also holds one
     signature of every key before it; its groups are then numbered by key, so a key's members share a gid.
@@ -164,14 +174,15 @@ def _groups(pieces: DataFrame, buckets: int, chunk: int = 4 << 20) -> DataFrame:
             if by_key:
                 gid = key[starts]
             else:
-                gid = np.bitwise_xor.reduceat(mixed(sig ^ np.uint64(0xE7037ED1A0B428DB)), starts) if len(starts) else key
+                gid = np.bitwise_xor.reduceat(mixed(sig.view(np.uint64) ^ np.uint64(0xE7037ED1A0B428DB)), starts) if len(starts) else key
                 many = many[np.unique(gid[many], return_index=True)[1]]
             take = np.repeat(starts[many], sizes[many]) + np.arange(sizes[many].sum()) - np.repeat(np.cumsum(sizes[many]) - sizes[many], sizes[many])
             return key, sig, starts, np.repeat(gid[many], sizes[many]), sig[take]
 
         def out(gid: np.ndarray, sig: np.ndarray) -> Iterator[pa.RecordBatch]:
             for at in range(0, len(gid), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(signed(np.ascontiguousarray(x[at : at + 100_000]))) for x in (gid, sig)], names=["gid", "sig"])
+                g, m = signed(np.ascontiguousarray(gid[at : at + 100_000])), sig[at : at + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(m), pa.nulls(len(g), pa.int64()), pa.nulls(len(g), pa.int64())], names=["gid", "sig", "doc_id", "n"])
 
         def flush(keys: list, sigs: list, full: bool, rest: list) -> Iterator[pa.RecordBatch]:
             """One chunk of a bucket. rest holds, for the chunks before, one (key, sig) of each key: what later chunks link to."""
@@ -181,6 +192,9 @@ def _groups(pieces: DataFrame, buckets: int, chunk: int = 4 << 20) -> DataFrame:
 
         bucket, keys, sigs, size, rest = None, [], [], 0, []
         for batch in batches:
+            plain = batch.filter(pc.is_null(batch.column("keys")))
+            yield pa.RecordBatch.from_arrays([pa.nulls(plain.num_rows, pa.int64()), *(plain.column(c) for c in ("sig", "doc_id", "n"))], names=["gid", "sig", "doc_id", "n"])
+            batch = batch.filter(pc.is_valid(batch.column("keys")))
             for b, k, s in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 if b != bucket or size >= chunk:
                     if keys:
@@ -189,37 +203,42 @@ def _groups(pieces: DataFrame, buckets: int, chunk: int = 4 << 20) -> DataFrame:
                     if b != bucket:
                         bucket, rest = b, []
                 keys.append(np.frombuffer(k.as_py(), np.uint64))
-                sigs.append(np.frombuffer(s.as_py(), np.uint64))
+                sigs.append(np.frombuffer(s.as_py(), np.int64))
                 size += len(keys[-1])
         if keys:
             yield from flush(keys, sigs, False, rest)
 
-    return pieces.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "gid long, sig long")
+    return pieces.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "gid long, sig long, doc_id long, n long")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """sig, n, shingles (sorted, 8 bytes each) and sketch of the texts of docs that have words."""
+    """sig, n, sketch and text of the texts of docs that have words. Texts travel rather than hashes, since they compress."""
     import xxhash
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = _shingler(width)
         for batch in batches:
-            sets = [x for x in (shingles(t.as_py() or b"") for t in batch.column(0)) if len(x)]
-            sigs = signed(np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64))
+            sets = [shingles(t.as_py() or b"") for t in batch.column(0)]
+            some = [i for i, x in enumerate(sets) if len(x)]
+            sets = [sets[i] for i in some]
+            sigs = [xxhash.xxh3_64_intdigest(x.tobytes()) - 2**63 for x in sets]
             bits = [parity_bits(x, 1 << max(2, math.ceil(math.log2(len(x) / 32)))).tobytes() for x in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(sigs), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array(bits, pa.binary())], names=["sig", "n", "shingles", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array(bits, pa.binary()), batch.column(0).take(pa.array(some, pa.int64()))], names=["sig", "n", "sketch", "text"])
 
-    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(build, "sig long, n long, shingles binary, sketch binary")
+    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(build, "sig long, n long, sketch binary, text binary")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are at least percent/100 alike."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles, last, p = _shingler(width), None, None
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+            for a, x, y in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3)):
+                if a != last:
+                    last, p = a, shingles(x.as_py())
+                q = shingles(y.as_py())
                 both = np.concatenate([p, q])
                 both.sort()
                 common = int((both[1:] == both[:-1]).sum())
@@ -227,7 +246,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = np.flatnonzero(keep)
             yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(keep)) for i in (0, 1)], names=["a", "b"])
 
-    side = lambda name: sets.select(F.col("sig").alias(name), F.col("n").alias(f"n{name}"), F.col("shingles").alias(f"s{name}"))
+    side = lambda name: sets.select(F.col("sig").alias(name), F.col("n").alias(f"n{name}"), F.col("text").alias(f"s{name}"))
     # The member first: of the two ends, it is the one that is not shared by many pairs.
     joined = pairs.join(side("b"), "b").join(side("a"), "a").filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
     return joined.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
@@ -286,11 +305,12 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     name no component. Other columns are not read; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    rows = written(_signatures(docs, width))
-    total = rows.agg(F.sum("n")).first()[0] or 0
-    pieces = total * 2 * 1.1 * 2 * (100 - percent) / (100 + percent)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    pieces = size / 6 * 2 * 1.2 * 2 * (100 - percent) / (100 + percent)  # of words of five bytes; only the size of buckets hangs on it
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(16 * pieces / BUCKET))
-    groups = written(_groups(_pieces(docs, width, percent, buckets), buckets).distinct())
+    met = written(_groups(_pieces(docs, width, percent, buckets), buckets))
+    rows = met.filter("gid is null").select("doc_id", "n", "sig")
+    groups = written(met.filter("gid is not null").select("gid", "sig").distinct())
     involved = written(groups.select("sig").distinct())
     # One row of each set that met another: its text is read again, found by doc_id where there is one.
     one = rows.filter("sig is not null").join(small_enough(involved), "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("id"))
@@ -298,14 +318,15 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     named = docs.join(small_enough(one), docs["doc_id"].cast("long") == one["id"], "left_semi").select("text")
     texts = named.unionByName(docs.filter("doc_id is null").select("text"))
     sets = written(_sets(texts, width).join(small_enough(involved), "sig", "left_semi").dropDuplicates(["sig"]))
-    # First stars around each group's smallest set; what they do not connect is compared across components.
-    stars = groups.join(groups.groupBy("gid").agg(F.min("sig").alias("a")), "gid").filter("a <> sig").select("a", F.col("sig").alias("b")).distinct()
-    links = written(_verified(stars, sets, percent))
+    # First one pair for each set, with the smallest that it meets; what they do not connect is compared across components.
+    low = groups.groupBy("gid").agg(F.min("sig").alias("a"))
+    stars = groups.join(low, "gid").filter("a <> sig").groupBy(F.col("sig").alias("b")).agg(F.min("a").alias("a")).select("a", "b")
+    links = written(_verified(stars, sets, width, percent))
     roots = written(components(links))
     members = groups.join(roots, groups["sig"] == roots["node"], "left").select("gid", "sig", F.coalesce("root", "sig").alias("root"))
     open_ = members.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("gid")
     rest = members.join(open_, "gid", "left_semi").join(sets.select("sig", "n", "sketch"), "sig")
-    more = written(_verified(_across(rest, percent), sets, percent))
+    more = written(_verified(_across(rest, percent), sets, width, percent))
     if more.limit(1).count():
         roots = components(links.unionByName(more))
     set_of = rows.join(roots, rows["sig"] == roots["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "sig").alias("root"))

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,7 +89,7 @@ def _keys(docs: DataFrame) -> DataFrame:
 
 
 def _anchors(docs: DataFrame, length: int) -> DataFrame:
-    """h, k1, k2, a, lo, hi: places in the text."""
+    """h, k1, k2 and at: the anchor's place in the text, and how far before it its first and last windows begin, in one number (see _place)."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Anchors(length)
@@ -98,10 +99,16 @@ def _anchors(docs: DataFrame, length: int) -> DataFrame:
             for h, a, lo, hi in finder.find(data, starts):
                 doc = np.searchsorted(starts, lo, "right") - 1
                 own = starts[doc]
-                cols = [signed(h), k1[doc], k2[doc], *((x - own).astype(np.int32) for x in (a, lo, hi))]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["h", "k1", "k2", "a", "lo", "hi"])
+                cols = [signed(h), k1[doc], k2[doc], (a - own << 24) | (a - lo << 12) | (a - hi)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["h", "k1", "k2", "at"])
 
-    return _keys(docs).mapInArrow(find, "h long, k1 long, k2 long, a int, lo int, hi int")
+    return _keys(docs).mapInArrow(find, "h long, k1 long, k2 long, at long")
+
+
+def _place(at: int) -> tuple[int, int, int]:
+    """Anchor, first and last window."""
+    a = at >> 24
+    return a, a - (at >> 12 & 4095), a - (at & 4095)
 
 
 SUFFIX = "k1 long, k2 long, a int, before binary, suffix binary, salt int, copies int"
@@ -118,7 +125,7 @@ def _suffixes(docs: DataFrame, repeated: DataFrame, length: int) -> DataFrame:
                 data = data.as_py()
                 seen: dict[tuple, int] = {}
                 for x in at:
-                    a, lo, hi = x["a"], x["lo"], x["hi"]
+                    a, lo, hi = _place(x["at"])
                     mark = (a - lo, hashlib.blake2b(data[lo : hi + length], digest_size=16).digest())
                     if mark in seen:
                         # both are repeated: this one needs no neighbour, the other is told
@@ -139,7 +146,7 @@ def _suffixes(docs: DataFrame, repeated: DataFrame, length: int) -> DataFrame:
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.int32()]
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], names=["k1", "k2", "a", "before", "suffix", "salt", "copies"])
 
-    lists = repeated.groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "lo", "hi", "salt")).alias("at"))
+    lists = repeated.groupBy("k1", "k2").agg(F.collect_set(F.struct("at", "salt")).alias("at"))
     return _keys(docs).join(lists, ["k1", "k2"]).select("k1", "k2", "data", F.sort_array("at").alias("at")).mapInArrow(cut, SUFFIX)
 
 
@@ -216,13 +223,20 @@ def _spans(hit: np.ndarray, a: np.ndarray, length: int) -> tuple[np.ndarray, np.
 
 def _buckets(suffixes: DataFrame, length: int) -> DataFrame:
     """k1, k2, s, e: bytes to remove; or, with fp, a window of spread leading bytes that its bucket has once."""
-    lead = F.substring("suffix", 1, GRAM)
-    whole = suffixes.filter("suffix is not null")
+    lead = F.coalesce(F.substring("suffix", 1, GRAM), F.col("before"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         def done(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            # Of a suffix that its own text has again, all windows are repeated: they begin between a - |before| and a - salt.
+            alone = rows.filter(pc.is_null(rows.column("suffix")))
+            k1, k2, a, salt = (alone.column(c).to_numpy() for c in ("k1", "k2", "a", "salt"))
+            s = a - np.array([len(x) for x in alone.column("before").to_pylist()], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), pa.array(s.astype(np.int32)), pa.array((a - salt + length).astype(np.int32)), pa.nulls(len(s), pa.binary())], names=["k1", "k2", "s", "e", "fp"])
+            rows = rows.filter(pc.is_valid(rows.column("suffix")))
+            if not rows.num_rows:
+                return
             k1, k2, a, salt, copies = (rows.column(c).to_numpy() for c in ("k1", "k2", "a", "salt", "copies"))
             before, suffix = rows.column("before").to_pylist(), rows.column("suffix").to_pylist()
             hit, least, most = repeated_windows(before, suffix, copies, length)
@@ -238,10 +252,10 @@ def _buckets(suffixes: DataFrame, length: int) -> DataFrame:
 
         held, size, last = [], 0, None
         for batch in batches:
-            leads = [x.as_py()[:GRAM] for x in batch.column("suffix")]
+            leads = [x.as_py()[:GRAM] if x.is_valid else None for x in batch.column("suffix")]
             start = 0
             for i, x in enumerate(leads):
-                if x != last and size > BUFFER:
+                if size > BUFFER and x != last:
                     yield from done(pa.Table.from_batches([*held, batch.slice(start, i - start)]))
                     held, size, start = [], 0, i
                 last = x
@@ -250,19 +264,15 @@ def _buckets(suffixes: DataFrame, length: int) -> DataFrame:
         if held:
             yield from done(pa.Table.from_batches(held))
 
-    sorted_ = whole.repartitionByRange(lead, "salt").sortWithinPartitions(lead, "salt")
-    inside = sorted_.mapInArrow(work, "k1 long, k2 long, s int, e int, fp binary")
-    # Of a suffix that its own text has again, all windows are repeated: its place begins at a - |before|; salt holds a - hi.
-    within = suffixes.filter("suffix is null").select("k1", "k2", (F.col("a") - F.length("before")).alias("s"), (F.col("a") - F.col("salt") + length).alias("e"), F.lit(None).cast("binary").alias("fp"))
-    return inside.unionByName(within)
+    return suffixes.repartitionByRange(lead, "salt").sortWithinPartitions(lead, "salt").mapInArrow(work, "k1 long, k2 long, s int, e int, fp binary")
 
 
 def repeats(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFrame:
     """k1, k2 and spans: for each row key with any, the byte ranges [s, e) that windows found more than once cover."""
     anchors = written(_anchors(docs, length))
     counts = anchors.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1")
-    spread = F.when(F.col("c") > hot, F.pmod(F.xxhash64("k1", "k2", "a"), F.ceil(F.col("c") / hot)).cast("int")).otherwise(F.lit(-1))
-    repeated = anchors.join(counts, "h").select("k1", "k2", "a", "lo", "hi", spread.alias("salt"))
+    spread = F.when(F.col("c") > hot, F.pmod(F.xxhash64("k1", "k2", "at"), F.ceil(F.col("c") / hot)).cast("int")).otherwise(F.lit(-1))
+    repeated = anchors.join(counts, "h").select("k1", "k2", "at", spread.alias("salt"))
     found = written(_buckets(_suffixes(docs, repeated, length), length))
     # Across the boundaries of buckets that share leading bytes: equal windows have equal fingerprints.
     open_ = found.filter("fp is not null")
