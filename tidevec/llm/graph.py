@@ -28,9 +28,14 @@ class Forest:
         return top
 
     def join(self, a: int, b: int) -> None:
+        self.joins(a, b)
+
+    def joins(self, a: int, b: int) -> bool:
+        """Unites two sets; whether they were apart."""
         a, b = self.root(a), self.root(b)
         if a != b:
             self.up[max(a, b)] = min(a, b)
+        return a != b
 
     def links(self) -> tuple[list[int], list[int]]:
         """(node, root) of every node that is not a root."""

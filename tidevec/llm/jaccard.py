@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .graph import components, small_enough
+from .graph import Forest, components, small_enough
 from .store import read, written
 from .texts import mixed, signed
 
@@ -222,7 +222,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
             some = [i for i, x in enumerate(sets) if len(x)]
             sets = [sets[i] for i in some]
             sigs = [xxhash.xxh3_64_intdigest(x.tobytes()) - 2**63 for x in sets]
-            bits = [parity_bits(x, 1 << max(2, math.ceil(math.log2(len(x) / 32)))).tobytes() for x in sets]
+            bits = [parity_bits(x, 1 << max(2, math.ceil(math.log2(len(x) / 16)))).tobytes() for x in sets]
             yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array(bits, pa.binary()), batch.column(0).take(pa.array(some, pa.int64()))], names=["sig", "n", "sketch", "text"])
 
     return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(build, "sig long, n long, sketch binary, text binary")
@@ -252,8 +252,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, width: int, percent: int) -> Da
     return joined.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
 
 
-def _across(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) in the same group (gid) but different components (root) whose sketches and sizes allow a link; compared block by block."""
+def _across(members: DataFrame, percent: int, every: bool) -> DataFrame:
+    """Pairs (a, b) in the same group (gid) but different components (root) whose sketches and sizes allow a link; compared block by block.
+
+    Without `every`, only as many of two blocks as would connect their components if all of them held.
+    """
     sizes = members.groupBy("gid").agg(F.count("*").alias("c"))
     block = F.pmod(F.xxhash64(F.lit(7), "sig"), F.ceil(F.col("c") / BLOCK)).cast("long")
     rows = members.join(sizes, "gid").withColumn("block", block)
@@ -281,6 +284,7 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             for p, q in zip(batch.column(0), batch.column(1)):
                 x, y = columns(p), columns(q)
+                forest = Forest()
                 for rx, bx in by_width(x):
                     for ry, by in by_width(y):
                         width = min(bx.shape[1], by.shape[1])
@@ -289,10 +293,15 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
                         for i, bits in zip(rx.tolist(), u):
                             own = x["n"][i]
                             ok = (x["root"][i] != root) & (100 * np.minimum(own, n) >= percent * np.maximum(own, n))
-                            if ok.any():
-                                ok &= np.bitwise_count(v ^ bits).sum(axis=1) * (100 + percent) <= (100 - percent) * (own + n)
-                                if len(hit := sig[ok]):
-                                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(hit, x["sig"][i])), pa.array(np.maximum(hit, x["sig"][i]))], names=["a", "b"])
+                            if not ok.any():
+                                continue
+                            ok &= np.bitwise_count(v ^ bits).sum(axis=1) * (100 + percent) <= (100 - percent) * (own + n)
+                            hit = np.flatnonzero(ok)
+                            if not every and len(hit):
+                                hit = [j for j in hit[np.unique(root[hit], return_index=True)[1]].tolist() if forest.joins(int(x["root"][i]), int(root[j]))]
+                            if len(hit):
+                                hit = sig[hit]
+                                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(hit, x["sig"][i])), pa.array(np.maximum(hit, x["sig"][i]))], names=["a", "b"])
 
     return met.mapInArrow(compare, "a long, b long").distinct()
 
@@ -323,12 +332,19 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     stars = groups.join(low, "gid").filter("a <> sig").groupBy(F.col("sig").alias("b")).agg(F.min("a").alias("a")).select("a", "b")
     links = written(_verified(stars, sets, width, percent))
     roots = written(components(links))
-    members = groups.join(roots, groups["sig"] == roots["node"], "left").select("gid", "sig", F.coalesce("root", "sig").alias("root"))
-    open_ = members.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("gid")
-    rest = members.join(open_, "gid", "left_semi").join(sets.select("sig", "n", "sketch"), "sig")
-    more = written(_verified(_across(rest, percent), sets, width, percent))
-    if more.limit(1).count():
-        roots = components(links.unionByName(more))
+    failed = None
+    for every in (False, False, True):
+        members = groups.join(roots, groups["sig"] == roots["node"], "left").select("gid", "sig", F.coalesce("root", "sig").alias("root"))
+        open_ = members.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("gid")
+        rest = members.join(open_, "gid", "left_semi").join(sets.select("sig", "n", "sketch"), "sig")
+        tried = _across(rest, percent, every)
+        tried = written(tried if failed is None else tried.join(failed, ["a", "b"], "left_anti"))
+        more = written(_verified(tried, sets, width, percent))
+        if more.limit(1).count():
+            links = links.unionByName(more)
+            roots = written(components(links))
+        out = tried.join(more, ["a", "b"], "left_anti")
+        failed = out if failed is None else failed.unionByName(out)
     set_of = rows.join(roots, rows["sig"] == roots["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "sig").alias("root"))
     least = set_of.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     return set_of.join(least, "root", "left").select("doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
