@@ -19,14 +19,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .graph import Forest, components, small_enough
-from .store import read, written
+from .graph import components, small_enough
+from .store import dropped, read, written
 from .texts import mixed, signed
 
 #: Bytes of piece keys that a bucket holds on average; a task sorts one bucket at a time.
 BUCKET = 16 << 20
-#: Documents in a block of a group that must be compared pair by pair.
-BLOCK = 2048
+#: Documents in a block of a large group that must be compared pair by pair, and the most in a group that is not large.
+BLOCK, FEW = 2048, 48
 
 
 def _shingler(width: int):
@@ -222,7 +222,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
             some = [i for i, x in enumerate(sets) if len(x)]
             sets = [sets[i] for i in some]
             sigs = [xxhash.xxh3_64_intdigest(x.tobytes()) - 2**63 for x in sets]
-            bits = [parity_bits(x, 1 << max(2, math.ceil(math.log2(len(x) / 16)))).tobytes() for x in sets]
+            bits = [parity_bits(x, 1 << max(2, math.ceil(math.log2(len(x) / 32)))).tobytes() for x in sets]
             yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array(bits, pa.binary()), batch.column(0).take(pa.array(some, pa.int64()))], names=["sig", "n", "sketch", "text"])
 
     return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(build, "sig long, n long, sketch binary, text binary")
@@ -252,11 +252,45 @@ def _verified(pairs: DataFrame, sets: DataFrame, width: int, percent: int) -> Da
     return joined.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
 
 
-def _across(members: DataFrame, percent: int, every: bool) -> DataFrame:
-    """Pairs (a, b) in the same group (gid) but different components (root) whose sketches and sizes allow a link; compared block by block.
+def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and the Hamming distance of sketches do not rule out."""
 
-    Without `every`, only as many of two blocks as would connect their components if all of them held.
-    """
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for i, (n, x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4))):
+                p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                if len(p) > len(q):
+                    p, q = q, p
+                while len(q) > len(p):  # a wide sketch's halves, folded by XOR, are the narrower sketch
+                    q = q[: len(q) // 2] ^ q[len(q) // 2 :]
+                if int(np.bitwise_count(p ^ q).sum()) * (100 + percent) <= (100 - percent) * n:
+                    keep.append(i)
+            yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(keep, pa.int64())) for i in (0, 1)], names=["a", "b"])
+
+    side = lambda name: sets.select(F.col("sig").alias(name), F.col("n").alias(f"n{name}"), F.col("sketch").alias(f"s{name}"))
+    joined = pairs.join(side("b"), "b").join(side("a"), "a").filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    return joined.select("a", "b", (F.col("na") + F.col("nb")).alias("n"), "sa", "sb").mapInArrow(check, "a long, b long")
+
+
+def _stars(members: DataFrame, seed: int) -> DataFrame:
+    """Pairs (a, b) of one member, by a seeded hash, of each component in a group with one of the group's first component."""
+    h = F.xxhash64(F.lit(seed), "sig")
+    one = members.groupBy("gid", "root").agg(F.min(F.struct(h.alias("h"), "sig")).alias("m"))
+    low = one.groupBy("gid").agg(F.min("m").alias("low"))
+    pairs = one.join(low, "gid").select(F.col("m.sig").alias("x"), F.col("low.sig").alias("y")).filter("x <> y")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _apart(members: DataFrame) -> DataFrame:
+    """All pairs (a, b) of members of different components in groups of at most FEW."""
+    lists = members.groupBy("gid").agg(F.sort_array(F.collect_list(F.struct("sig", "root"))).alias("m"))
+    pairs = F.expr("flatten(transform(m, (x, i) -> transform(filter(slice(m, i + 2, size(m)), y -> y.root <> x.root), y -> struct(x.sig as a, y.sig as b))))")
+    return lists.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
+
+
+def _across(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) in the same group (gid) but different components (root) whose sketches and sizes allow a link; compared block by block."""
     sizes = members.groupBy("gid").agg(F.count("*").alias("c"))
     block = F.pmod(F.xxhash64(F.lit(7), "sig"), F.ceil(F.col("c") / BLOCK)).cast("long")
     rows = members.join(sizes, "gid").withColumn("block", block)
@@ -284,7 +318,6 @@ def _across(members: DataFrame, percent: int, every: bool) -> DataFrame:
         for batch in batches:
             for p, q in zip(batch.column(0), batch.column(1)):
                 x, y = columns(p), columns(q)
-                forest = Forest()
                 for rx, bx in by_width(x):
                     for ry, by in by_width(y):
                         width = min(bx.shape[1], by.shape[1])
@@ -297,8 +330,6 @@ def _across(members: DataFrame, percent: int, every: bool) -> DataFrame:
                                 continue
                             ok &= np.bitwise_count(v ^ bits).sum(axis=1) * (100 + percent) <= (100 - percent) * (own + n)
                             hit = np.flatnonzero(ok)
-                            if not every and len(hit):
-                                hit = [j for j in hit[np.unique(root[hit], return_index=True)[1]].tolist() if forest.joins(int(x["root"][i]), int(root[j]))]
                             if len(hit):
                                 hit = sig[hit]
                                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(hit, x["sig"][i])), pa.array(np.maximum(hit, x["sig"][i]))], names=["a", "b"])
@@ -333,11 +364,15 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     links = written(_verified(stars, sets, width, percent))
     roots = written(components(links))
     failed = None
-    for every in (False, False, True):
+    for step in (1, 2, 0):
         members = groups.join(roots, groups["sig"] == roots["node"], "left").select("gid", "sig", F.coalesce("root", "sig").alias("root"))
-        open_ = members.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("gid")
-        rest = members.join(open_, "gid", "left_semi").join(sets.select("sig", "n", "sketch"), "sig")
-        tried = _across(rest, percent, every)
+        state = members.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).filter("lo <> hi").select("gid", "c")
+        rest = written(members.join(state, "gid"))
+        if step:
+            tried = _possible(_stars(rest, step), sets, percent)
+        else:  # whatever is still in several components is compared pair by pair
+            large = rest.filter(F.col("c") > FEW).drop("c").join(sets.select("sig", "n", "sketch"), "sig")
+            tried = _possible(_apart(rest.filter(F.col("c") <= FEW)), sets, percent).unionByName(_across(large, percent)).distinct()
         tried = written(tried if failed is None else tried.join(failed, ["a", "b"], "left_anti"))
         more = written(_verified(tried, sets, width, percent))
         if more.limit(1).count():
@@ -345,6 +380,7 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
             roots = written(components(links))
         out = tried.join(more, ["a", "b"], "left_anti")
         failed = out if failed is None else failed.unionByName(out)
+        dropped(rest)
     set_of = rows.join(roots, rows["sig"] == roots["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "sig").alias("root"))
     least = set_of.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     return set_of.join(least, "root", "left").select("doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
