@@ -222,7 +222,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
             some = [i for i, x in enumerate(sets) if len(x)]
             sets = [sets[i] for i in some]
             sigs = [xxhash.xxh3_64_intdigest(x.tobytes()) - 2**63 for x in sets]
-            bits = [parity_bits(x, 1 << max(2, math.ceil(math.log2(len(x) / 32)))).tobytes() for x in sets]
+            bits = [parity_bits(x, 1 << max(2, math.ceil(math.log2(len(x) / 8)))).tobytes() for x in sets]
             yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array(bits, pa.binary()), batch.column(0).take(pa.array(some, pa.int64()))], names=["sig", "n", "sketch", "text"])
 
     return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(build, "sig long, n long, sketch binary, text binary")
