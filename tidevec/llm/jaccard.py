@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .graph import components, small_enough
-from .store import dropped, read, written
+from .store import dropped, read, released, written
 from .texts import mixed, signed
 
 #: Bytes of piece keys that a bucket holds on average; a task sorts one bucket at a time.
@@ -212,7 +212,7 @@ def _groups(pieces: DataFrame, buckets: int, chunk: int = 4 << 20) -> DataFrame:
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """sig, n, sketch and text of the texts of docs that have words. Texts travel rather than hashes, since they compress."""
+    """sig, n, sketch (2 to 4 bits per shingle), wide (8 to 16) and text of the texts of docs that have words. Texts travel rather than hashes, since they compress."""
     import xxhash
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,10 +222,10 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
             some = [i for i, x in enumerate(sets) if len(x)]
             sets = [sets[i] for i in some]
             sigs = [xxhash.xxh3_64_intdigest(x.tobytes()) - 2**63 for x in sets]
-            bits = [parity_bits(x, 1 << max(2, math.ceil(math.log2(len(x) / 8)))).tobytes() for x in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array(bits, pa.binary()), batch.column(0).take(pa.array(some, pa.int64()))], names=["sig", "n", "sketch", "text"])
+            bits = [[parity_bits(x, 1 << max(2, math.ceil(math.log2(len(x) / n)))).tobytes() for x in sets] for n in (32, 8)]
+            yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), *(pa.array(x, pa.binary()) for x in bits), batch.column(0).take(pa.array(some, pa.int64()))], names=["sig", "n", "sketch", "wide", "text"])
 
-    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(build, "sig long, n long, sketch binary, text binary")
+    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(build, "sig long, n long, sketch binary, wide binary, text binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
@@ -349,6 +349,7 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     pieces = size / 6 * 2 * 1.2 * 2 * (100 - percent) / (100 + percent)  # of words of five bytes; only the size of buckets hangs on it
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(16 * pieces / BUCKET))
     met = written(_groups(_pieces(docs, width, percent, buckets), buckets))
+    released(spark)
     rows = met.filter("gid is null").select("doc_id", "n", "sig")
     groups = written(met.filter("gid is not null").select("gid", "sig").distinct())
     involved = written(groups.select("sig").distinct())
@@ -358,6 +359,7 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     named = docs.join(small_enough(one), docs["doc_id"].cast("long") == one["id"], "left_semi").select("text")
     texts = named.unionByName(docs.filter("doc_id is null").select("text"))
     sets = written(_sets(texts, width).join(small_enough(involved), "sig", "left_semi").dropDuplicates(["sig"]))
+    released(spark)
     # First one pair for each set, with the smallest that it meets; what they do not connect is compared across components.
     low = groups.groupBy("gid").agg(F.min("sig").alias("a"))
     stars = groups.join(low, "gid").filter("a <> sig").groupBy(F.col("sig").alias("b")).agg(F.min("a").alias("a")).select("a", "b")
@@ -371,7 +373,7 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         if step:
             tried = _possible(_stars(rest, step), sets, percent)
         else:  # whatever is still in several components is compared pair by pair
-            large = rest.filter(F.col("c") > FEW).drop("c").join(sets.select("sig", "n", "sketch"), "sig")
+            large = rest.filter(F.col("c") > FEW).drop("c").join(sets.select("sig", "n", F.col("wide").alias("sketch")), "sig")
             tried = _possible(_apart(rest.filter(F.col("c") <= FEW)), sets, percent).unionByName(_across(large, percent)).distinct()
         tried = written(tried if failed is None else tried.join(failed, ["a", "b"], "left_anti"))
         more = written(_verified(tried, sets, width, percent))
@@ -381,6 +383,7 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         out = tried.join(more, ["a", "b"], "left_anti")
         failed = out if failed is None else failed.unionByName(out)
         dropped(rest)
+        released(spark)
     set_of = rows.join(roots, rows["sig"] == roots["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "sig").alias("root"))
     least = set_of.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     return set_of.join(least, "root", "left").select("doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -34,6 +35,12 @@ def dropped(*frames: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def released(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of steps whose frames are gone; otherwise they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fold(doc_id, buckets: int):
     """crc32 of doc_id as text, modulo buckets; null where doc_id is null."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % buckets

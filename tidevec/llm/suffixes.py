@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import read, written
+from .store import read, released, written
 from .texts import flat, mixed, signed
 
 GRAM = 100
@@ -274,6 +274,8 @@ def repeats(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFrame:
     spread = F.when(F.col("c") > hot, F.pmod(F.xxhash64("k1", "k2", "at"), F.ceil(F.col("c") / hot)).cast("int")).otherwise(F.lit(-1))
     repeated = anchors.join(counts, "h").select("k1", "k2", "at", spread.alias("salt"))
     found = written(_buckets(_suffixes(docs, repeated, length), length))
+    del counts, repeated
+    released(docs.sparkSession)
     # Across the boundaries of buckets that share leading bytes: equal windows have equal fingerprints.
     open_ = found.filter("fp is not null")
     again = open_.groupBy("fp").agg(F.count("*").alias("c")).filter("c > 1").select("fp")

@@ -180,7 +180,7 @@ def fit(docs: list[tuple[int, np.ndarray]], words: list[bytes], telling: np.ndar
     return f
 
 
-def trained(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, rows: int = 8000) -> Field:
+def trained(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, rows: int = 5000) -> Field:
     """A field fitted on at most `rows` labelled documents outside the held-out fold; without toxic ones, a field that finds nothing."""
     sample = labelled(docs, labels, "toxic", folds, held_out, rows).select("y", "text")
     told = lexicon(sample)
