@@ -35,7 +35,7 @@ def _shingler(width: int):
 
     class Codes(dict):
         def __missing__(self, word: bytes) -> int:
-            if len(self) > 500_000:
+            if len(self) > 100_000:
                 self.clear()
             code = self[word] = xxhash.xxh3_64_intdigest(word) - 2**63
             return code

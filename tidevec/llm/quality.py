@@ -57,7 +57,7 @@ def _featured():
     def features(text: bytes, n_chars: int | None) -> tuple[list[int], list[float]]:
         words = text.split()
         n, kinds = len(words), set(words)
-        if len(cache) > 300_000:
+        if len(cache) > 100_000:
             cache.clear()
         slots = set()
         for w in kinds:

@@ -48,5 +48,5 @@ def fold(doc_id, buckets: int):
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     # Batches of a few MB of text keep Python workers small even where texts are long.
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -108,7 +108,7 @@ def _reader(lexicon: dict[bytes, int]):
 
     def features(text: bytes) -> list[int]:
         get, cache = lexicon.get, seen
-        if len(cache) > 300_000:
+        if len(cache) > 100_000:
             cache.clear()
         out = []
         for w in text.split():
