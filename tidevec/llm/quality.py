@@ -82,7 +82,7 @@ def _featured():
             math.log(1 + max(0, n_chars or 0)),
         )
         out = sorted(slots)
-        values = [2 / math.sqrt(len(out))] * len(out)
+        values = [2 / math.sqrt(max(1, len(out)))] * len(out)
         for i, (x, bins) in enumerate(zip(stats, BINS.values())):
             out.append(SLOTS + 9 * i + bisect.bisect_left(bins, x))
             values.append(0.5)
