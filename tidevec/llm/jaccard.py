@@ -27,6 +27,8 @@ from .texts import mixed, signed
 BUCKET = 16 << 20
 #: Documents in a block of a large group that must be compared pair by pair, and the most in a group that is not large.
 BLOCK, FEW = 2048, 48
+#: Large groups that a set lists, the lowest ones: a pair that lists a lower group in common is left to that group.
+LISTED = 16
 
 
 def _shingler(width: int):
@@ -290,18 +292,26 @@ def _apart(members: DataFrame) -> DataFrame:
 
 
 def _across(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) in the same group (gid) but different components (root) whose sketches and sizes allow a link; compared block by block."""
+    """Pairs (a, b) in the same group (gid) but different components (root) whose sketches and sizes allow a link; compared block by block.
+
+    Near copies share many groups. In the lowest that they share a pair always counts, in others only if the LISTED lowest groups
+    of its ends don't show a lower one in common: no pair is lost, and few come up again.
+    """
     sizes = members.groupBy("gid").agg(F.count("*").alias("c"))
     block = F.pmod(F.xxhash64(F.lit(7), "sig"), F.ceil(F.col("c") / BLOCK)).cast("long")
-    rows = members.join(sizes, "gid").withColumn("block", block)
-    blocks = written(rows.groupBy("gid", "block").agg(F.collect_list(F.struct("sig", "root", "n", "sketch")).alias("rows")))
+    low = members.groupBy("sig").agg(F.slice(F.sort_array(F.collect_set("gid")), 1, LISTED).alias("low"))
+    rows = members.join(sizes, "gid").join(low, "sig").withColumn("block", block).withColumn("low", F.expr("filter(low, x -> x < gid)"))
+    blocks = written(rows.groupBy("gid", "block").agg(F.collect_list(F.struct("sig", "root", "n", "sketch", "low")).alias("rows")))
     left, right = blocks.select("gid", F.col("block").alias("i"), F.col("rows").alias("x")), blocks.select("gid", F.col("block").alias("j"), F.col("rows").alias("y"))
     met = left.join(right, "gid").filter("i <= j").select("x", "y")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def columns(rows: pa.ListScalar) -> dict:
             r = rows.values
-            return {c: r.field(c).to_numpy(zero_copy_only=False) for c in ("sig", "root", "n")} | {"bits": [np.frombuffer(b, np.uint64) for b in r.field("sketch").to_pylist()]}
+            low = np.full((len(r), LISTED), 2**63 - 1, np.int64)  # no group below another
+            for at, groups in enumerate(r.field("low").to_pylist()):
+                low[at, : len(groups)] = groups
+            return {c: r.field(c).to_numpy(zero_copy_only=False) for c in ("sig", "root", "n")} | {"low": low, "bits": [np.frombuffer(b, np.uint64) for b in r.field("sketch").to_pylist()]}
 
         def by_width(x: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             widths = np.array([len(b) for b in x["bits"]])
@@ -322,7 +332,7 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
                     for ry, by in by_width(y):
                         width = min(bx.shape[1], by.shape[1])
                         u, v = narrow(bx, width), narrow(by, width)
-                        n, root, sig = y["n"][ry], y["root"][ry], y["sig"][ry]
+                        n, root, sig, low = y["n"][ry], y["root"][ry], y["sig"][ry], y["low"][ry]
                         for i, bits in zip(rx.tolist(), u):
                             own = x["n"][i]
                             ok = (x["root"][i] != root) & (100 * np.minimum(own, n) >= percent * np.maximum(own, n))
@@ -330,6 +340,9 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
                                 continue
                             ok &= np.bitwise_count(v ^ bits).sum(axis=1) * (100 + percent) <= (100 - percent) * (own + n)
                             hit = np.flatnonzero(ok)
+                            lower = x["low"][i][x["low"][i] < 2**63 - 1]
+                            if len(hit) and len(lower):
+                                hit = hit[~np.isin(low[hit], lower).any(axis=1)]
                             if len(hit):
                                 hit = sig[hit]
                                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(hit, x["sig"][i])), pa.array(np.maximum(hit, x["sig"][i]))], names=["a", "b"])
