@@ -63,6 +63,26 @@ def test_jaccard(docs, empty, width, percent):
     assert jaccard.linked(empty, width, percent).count() == 0
 
 
+def test_large_groups_that_overlap_lose_no_pair(spark):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 200).astype(np.uint64)
+    sets = {sig: np.unique(np.concatenate([base[rng.random(200) < 0.97], rng.integers(0, 2**63, 4).astype(np.uint64)])) for sig in range(-20, 20)}
+    root = {sig: sig // 2 for sig in sets}
+    sketch = {sig: jaccard.parity_bits(x, 8 if sig % 3 else 16) for sig, x in sets.items()}
+    groups = {gid * 97 - 1500: [sig for sig in sets if rng.random() < 0.5] for gid in range(40)}
+    rows = [(gid, sig, root[sig], len(sets[sig]), sketch[sig].tobytes()) for gid, sigs in groups.items() for sig in sigs]
+
+    def possible(a, b):
+        p, q = sorted((sketch[a], sketch[b]), key=len)
+        q = q if len(p) == len(q) else q[: len(p)] ^ q[len(p) :]
+        n = len(sets[a]), len(sets[b])
+        return 100 * min(n) >= 80 * max(n) and int(np.bitwise_count(p ^ q).sum()) * 180 <= 20 * sum(n)
+
+    want = {(a, b) for sigs in groups.values() for a in sigs for b in sigs if a < b and root[a] != root[b] and possible(a, b)}
+    got = jaccard._across(spark.createDataFrame(rows, "gid long, sig long, root long, n long, sketch binary"), 80).collect()
+    assert want and sorted(map(tuple, got)) == sorted(want)
+
+
 def test_parity_sketch_bounds_the_difference():
     rnd = np.random.default_rng(1)
     a = np.unique(rnd.integers(0, 2**64, 200, np.uint64))
