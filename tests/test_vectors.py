@@ -1,4 +1,5 @@
 import os
+import random
 
 import duckdb
 import pytest
@@ -26,6 +27,22 @@ def test_matches_sql(spark, name):
     assert sorted(map(repr, map(tuple, df.select(*cols).collect()))) == sorted(map(repr, want))
 
 
+def test_robust_prune(spark):
+    rnd = random.Random(3)
+    at = {i: [rnd.random() for _ in range(3)] for i in range(30)}
+    v = spark.createDataFrame([(i, 0, x) for i, x in at.items()], "id long, ts long, v array<double>")
+    far = lambda a, b: sum((x - y) ** 2 for x, y in zip(at[a], at[b]))
+    want = []
+    for a in at:
+        near = sorted((b for b in at if b != a), key=lambda b: (round(far(a, b), 6), b))[:8]
+        took = []
+        for b in near:
+            if len(took) < 4 and all(far(c, b) >= round(far(a, b), 6) for c in took):
+                took.append(b)
+        want += [(a, i, b) for i, b in enumerate((took + [b for b in near if b not in took])[:4])]
+    assert sorted(map(tuple, graph.occluded(knn_graph(v), v).collect())) == sorted(want)
+
+
 def test_ramp_neighbours_and_no_self_loops(spark):
     g = knn_graph(ramp(spark), 2).collect()
     assert all(r.src != r.dst for r in g)

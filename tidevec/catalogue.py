@@ -265,6 +265,11 @@ def prune_graph(t: Tables) -> DataFrame:
     return graph.pruned(knn_graph(t.v))
 
 
+@query()
+def robust_prune(t: Tables) -> DataFrame:
+    return graph.occluded(knn_graph(t.v), t.v)
+
+
 @query(f"{BASE}, {G}, {DET}, {PRU}, {REV} SELECT * FROM rev")
 def reverse_graph(t: Tables) -> DataFrame:
     return graph.reversed_(graph.pruned(knn_graph(t.v)))

@@ -24,6 +24,20 @@ def pruned(graph: DataFrame, degree: int = 4) -> DataFrame:
     return detours(graph).withColumn("slot", (F.row_number().over(w) - 1).cast("long")).filter(F.col("slot") < degree).select("src", "slot", "dst", "detour")
 
 
+def occluded(graph: DataFrame, vectors: DataFrame, degree: int = 4) -> DataFrame:
+    """src, slot, dst: the `degree` neighbours that a robust prune keeps of ranked candidates (src, rank, dst, dist).
+
+    From near to far, a candidate is taken unless it lies nearer to one taken before than to src; free slots go to those passed over, near ones first.
+    """
+    rows = graph.join(vectors.select(F.col("id").alias("dst"), "v"), "dst")
+    lists = rows.groupBy("src").agg(F.sort_array(F.collect_list(F.struct("rank", "dst", "dist", "v"))).alias("m"))
+    l2 = "aggregate(zip_with(r.v, c.v, (x, y) -> (x - y) * (x - y)), 0D, (s, z) -> s + z)"
+    taken = f"aggregate(m, slice(m, 1, 0), (t, c) -> if(size(t) >= {degree} or exists(t, r -> {l2} < c.dist), t, concat(t, array(c))), t -> transform(t, c -> c.dst))"
+    full = lists.select("src", F.transform("m", lambda c: c["dst"]).alias("all"), F.expr(taken).alias("t"))
+    kept = F.slice(F.concat("t", F.array_except("all", "t")), 1, degree)
+    return full.select("src", F.posexplode(kept).alias("slot", "dst")).select("src", F.col("slot").cast("long").alias("slot"), "dst")
+
+
 def reversed_(edges: DataFrame, degree: int = 4) -> DataFrame:
     """dst, pos, src: for each node, who points at it, by slot and source, `degree` at most."""
     w = Window.partitionBy("dst").orderBy("slot", "src")
