@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .graph import components, small_enough
-from .store import dropped, read, released, written
+from .store import batched, dropped, read, released, written
 from .texts import mixed, signed
 
 #: Bytes of piece keys that a bucket holds on average; a task sorts one bucket at a time.
@@ -357,6 +357,7 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     Equal sets are one node, so copies never meet pairwise. Rows with a null doc_id link like others but
     name no component. Other columns are not read; an empty table gives no rows.
     """
+    docs = batched(docs)
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     pieces = size / 6 * 2 * 1.2 * 2 * (100 - percent) / (100 + percent)  # of words of five bytes; only the size of buckets hangs on it

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .store import fold, read
+from .store import batched, fold, read
 
 #: N-grams in a profile, and the distance that an n-gram adds which the other profile lacks.
 TOP = 300
@@ -53,6 +53,7 @@ def profiles(docs: DataFrame, folds: int = 3, held_out: int = 1, rows: int = 200
 
     Texts or languages that are null are not learned from; with none at all there are no profiles.
     """
+    docs = batched(docs)
     order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(9), "doc_id"), "doc_id")
     known = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & (fold("doc_id", folds) != held_out)).select("doc_id", "lang")
     chosen = known.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= rows).select(F.col("doc_id").alias("y_id"), F.col("lang").alias("y")).distinct()
@@ -82,6 +83,7 @@ def identified(docs: DataFrame, known: dict[str, np.ndarray], top: int = TOP) ->
 
     und and 0 where the text is null or has no letter, or no language was learned. Rows are judged one by one; other columns are not read.
     """
+    docs = batched(docs)
     names = sorted(known)
     every = np.unique(np.concatenate([known[y] for y in names])) if names else np.zeros(0, np.int64)
     place = np.full((len(every) + 1, max(1, len(names))), -1, np.int32)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import read, written
+from .store import batched, read, written
 
 #: Token after each document.
 END = 0
@@ -60,6 +60,7 @@ def tokenised(docs: DataFrame, sequence: int = 1024, path: str | None = None) ->
     Null and empty texts give one piece, the end token. Rows are taken one by one: repeated rows give
     repeated pieces, an empty table none. Other columns are not read.
     """
+    docs = batched(docs)
     path = path or vocabulary()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

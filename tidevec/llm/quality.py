@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import fold, read
+from .store import batched, fold, read
 from .training import labelled
 
 #: Slots of hashed words; those of statistics follow.
@@ -137,6 +137,7 @@ def _columns(docs: DataFrame) -> list:
 def trained(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, rows: int = 12_000) -> Machine:
     """A machine fitted on at most `rows` labelled documents outside the held-out fold."""
 
+    docs = batched(docs)
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = _featured()
         for batch in batches:
@@ -150,6 +151,7 @@ def trained(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int =
 
 def scored(docs: DataFrame, machine: Machine, keep: list[str]) -> DataFrame:
     """The columns `keep` of docs with score, 0 to 1. Null texts score as empty ones; rows are scored one by one; extra columns pass through if kept."""
+    docs = batched(docs)
     bias, weights, factors = machine.bias, machine.weights.astype(np.float32), machine.factors.astype(np.float32)
     keep_fields = [docs.schema[c] for c in keep]
     n = len(keep)

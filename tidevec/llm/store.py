@@ -46,7 +46,13 @@ def fold(doc_id, buckets: int):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % buckets
 
 
+def batched(df: DataFrame, rows: int = 1000, size: str = "8m") -> DataFrame:
+    """df, after bounding the batches that Python workers get in its session, by rows and bytes. Operators call it themselves, as a session's default is 10,000 rows of any length."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    return df
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    # Batches of a few MB of text keep Python workers small even where texts are long.
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

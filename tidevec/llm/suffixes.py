@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import read, released, written
+from .store import batched, read, released, written
 from .texts import flat, mixed, signed
 
 GRAM = 100
@@ -269,6 +269,7 @@ def _buckets(suffixes: DataFrame, length: int) -> DataFrame:
 
 def repeats(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFrame:
     """k1, k2 and spans: for each row key with any, the byte ranges [s, e) that windows found more than once cover."""
+    docs = batched(docs)
     anchors = written(_anchors(docs, length))
     counts = anchors.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1")
     spread = F.when(F.col("c") > hot, F.pmod(F.xxhash64("k1", "k2", "at"), F.ceil(F.col("c") / hot)).cast("int")).otherwise(F.lit(-1))
@@ -301,6 +302,7 @@ def deduplicated(docs: DataFrame, columns: list[str], length: int = 400, hot: in
     on the input and never cross texts. Null texts are empty; texts shorter than `length` stay whole; rows with equal
     doc_id and text are copies of each other; an empty table gives no rows.
     """
+    docs = batched(docs)
     names = [*columns, "data", "n_bytes", "n_removed", "n_spans"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import fold, read
+from .store import batched, fold, read
 from .training import labelled
 
 #: Tokens of a chain that are worked off in step; longer chains are cut into chunks whose transfer matrices are exact.
@@ -182,6 +182,7 @@ def fit(docs: list[tuple[int, np.ndarray]], words: list[bytes], telling: np.ndar
 
 def trained(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, rows: int = 5000) -> Field:
     """A field fitted on at most `rows` labelled documents outside the held-out fold; without toxic ones, a field that finds nothing."""
+    docs = batched(docs)
     sample = labelled(docs, labels, "toxic", folds, held_out, rows).select("y", "text")
     told = lexicon(sample)
     words = [w for w, _, _ in told]
@@ -204,6 +205,7 @@ def scored(docs: DataFrame, field: Field, span_least: float = 0.5) -> DataFrame:
 
     Null and empty texts score 0 with no spans; rows are scored one by one; other columns are not read.
     """
+    docs = batched(docs)
     table, odds, start, moves = field.lexicon, field.odds, field.start, field.moves
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
