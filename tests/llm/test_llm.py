@@ -255,6 +255,33 @@ def test_vectors(spark):
     assert vectors.near_vectors(df.limit(0)).count() == 0
 
 
+def cone(rows, narrow, seed=5):
+    """Vectors of 64 numbers at a cosine of about `narrow` to each other; each odd one is at 0.94 to the even one before."""
+    rnd = np.random.default_rng(seed)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    axis = unit(rnd.normal(size=64))
+    x = unit(np.sqrt(narrow) * axis + np.sqrt(1 - narrow) * unit(rnd.normal(size=(rows // 2, 64))))
+    side = rnd.normal(size=x.shape)
+    side = unit(side - (side * x).sum(axis=1, keepdims=True) * x)
+    return np.stack([x, 0.94 * x + np.sqrt(1 - 0.94**2) * side], axis=1).reshape(-1, 64)
+
+
+@pytest.mark.parametrize("narrow, work", [(0.85, vectors.PASS), (0.0, 640)])
+def test_recall_does_not_depend_on_where_a_label_lies(spark, narrow, work):
+    x = cone(6000, narrow)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").selectExpr("*", "1 as label")
+    got = {r.vec_id: r.component_id for r in vectors.near_vectors(df, work=work).collect()}
+    pairs = np.argwhere(np.triu(x @ x.T >= 0.93, 1)).tolist()
+    assert len(pairs) >= 3000
+    assert sum(got[a] == got[b] for a, b in pairs) >= 0.98 * len(pairs)
+
+
+def test_plan_compares_all_only_where_projections_do_not_part():
+    assert vectors.plan(10**6, np.full(9, 0.9), 0.93, 0.02, 1000) == (0, 1)
+    bits, passes = vectors.plan(10**6, np.full(9, 0.5), 0.93, 0.02, 1000)
+    assert bits > 1 and (1 - (1 - np.arccos(0.93) / np.pi) ** bits) ** passes <= 0.02
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7), (None, 3)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long").repartition(5)).collect()}
