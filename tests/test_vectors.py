@@ -5,7 +5,7 @@ import duckdb
 import pytest
 
 from tidevec import catalogue
-from tidevec.operators import graph, search
+from tidevec.operators import evaluate, graph, search
 from tidevec.operators.knn import knn, knn_graph, pad, queries_of
 from tidevec.sources import vectors as files
 
@@ -85,6 +85,16 @@ def test_partitioned_graph_kinds_and_wide_beam_is_exact(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, truth.collect()))
 
 
+@pytest.mark.parametrize("name, where", [("beam_converged_global", "true"), ("beam_converged_bucket", "ts = 3"), ("beam_converged_range", "ts >= 2 and ts < 6")])
+def test_converged_beam_finds_the_nearest(spark, tmp_path, name, where):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    t = catalogue.Tables(spark, D)
+    got = catalogue.QUERIES[name](spark, D).checkpoint()
+    inside = t.v.filter(where)
+    assert got.join(inside, "id", "left_anti").count() == 0
+    assert evaluate.recall(got, knn(t.q, inside)).first().recall >= 0.9
+
+
 def test_fvecs_and_index_round_trip(spark, tmp_path):
     (tmp_path / "a.fvecs").write_bytes(files.to_fvecs([[1, 2, 3], [4, 5, 6]]))
     assert [r.v for r in files.fvecs(spark, str(tmp_path / "a.fvecs")).orderBy("n").collect()] == [[1, 2, 3], [4, 5, 6]]

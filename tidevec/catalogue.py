@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -369,6 +371,37 @@ def beam_search_range(t: Tables) -> DataFrame:
     return search.beam(t.q, search.sampled_seeds(inside), graph.partitioned_graph(t.v), inside, hops=2)
 
 
+#: Edges of a node, and what the beams below keep and expand in a hop. SQL cannot follow until no node is open, so they have no twin.
+DEGREE, ITOPK, WIDTH, HOPS = 32, 128, 16, 100
+
+
+def _converged(t: Tables, edges: DataFrame, inside: DataFrame) -> DataFrame:
+    """Beam search within `inside` until no open node is left. The edges and each hop are checkpointed: in the cluster's folder, a local one only where that is unset."""
+    if not t.spark.sparkContext.getCheckpointDir():
+        t.spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidevec-"))
+    return search.beam(t.q, search.sampled_seeds(inside, max(32, ITOPK // 4)), edges.checkpoint(), inside, hops=HOPS, itopk=ITOPK, width=WIDTH, checkpoint=True)
+
+
+def _wide(t: Tables) -> DataFrame:
+    return graph.partitioned_graph(t.v, 2 * DEGREE, DEGREE, DEGREE // 2, 2 * DEGREE)
+
+
+@query()
+def beam_converged_global(t: Tables) -> DataFrame:
+    return _converged(t, _wide(t), t.v)
+
+
+@query()
+def beam_converged_bucket(t: Tables) -> DataFrame:
+    inside = t.v.filter("ts = 3")
+    return _converged(t, graph.merged(graph.pruned(knn_graph(inside, 2 * DEGREE), DEGREE), DEGREE), inside)
+
+
+@query()
+def beam_converged_range(t: Tables) -> DataFrame:
+    return _converged(t, _wide(t), in_range(t.v, 2, 6))
+
+
 # --- insertion -----------------------------------------------------------------------------------------------------
 
 
