@@ -134,18 +134,21 @@ def _columns(docs: DataFrame) -> list:
     return [F.col("text").cast("binary").alias("text"), chars.alias("n_chars")]
 
 
-def trained(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, rows: int = 12_000) -> Machine:
-    """A machine fitted on at most `rows` labelled documents outside the held-out fold."""
+def trained(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, rows: int = 12_000, size: int = 96 << 20) -> Machine:
+    """A machine fitted on at most `rows` labelled documents outside the held-out fold, of at most `size` bytes together; their features, not their texts, go to the driver.
 
+    Null texts count as empty, repeated rows each; see labelled() for null labels and ids. No labels: a constant score.
+    """
     docs = batched(docs)
+
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = _featured()
         for batch in batches:
             got = [features(t.as_py() or b"", c.as_py()) for t, c in zip(batch.column(1), batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.array(s, np.int32).tobytes() for s, _ in got], pa.binary()), pa.array([np.array(v, np.float32).tobytes() for _, v in got], pa.binary())], names=["y", "slots", "values"])
 
-    sample = labelled(docs, labels, "quality", folds, held_out, rows)
-    got = sample.select("y", *_columns(docs)).mapInArrow(featured, "y int, slots binary, values binary").collect()
+    sample = labelled(docs, labels, "quality", folds, held_out, rows, size, dict(zip(("text", "n_chars"), _columns(docs))))
+    got = sample.mapInArrow(featured, "y int, slots binary, values binary").collect()
     return fit(sorted((r[0], bytes(r[1]), bytes(r[2])) for r in got))
 
 

@@ -11,11 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import batched, fold, read
+from .store import batched, fold, read, written
 from .training import labelled
 
 #: Tokens of a chain that are worked off in step; longer chains are cut into chunks whose transfer matrices are exact.
 CHUNK = 128
+#: Tokens whose marginals are worked out at once, but for a longer chain.
+SLICE = 250_000
 STRIP = b".,;:!?\"'()[]{}*#$%&|<>-_"
 
 
@@ -123,10 +125,10 @@ def _reader(lexicon: dict[bytes, int]):
 
 
 def lexicon(sample: DataFrame, entries: int = 4096, sure: float = 3.0) -> list[tuple[bytes, int, int]]:
-    """Words that toxic documents of the sample (columns y, text) have more often than chance allows among so many words: word, toxic and other documents with it.
+    """Words that toxic documents of the sample (columns y, text as bytes) have more often than chance allows among so many words: word, toxic and other documents with it.
 
     A word's evidence is its documents times the divergence of its toxic share from that of all documents;
-    it must pass the logarithm of the number of words by `sure`.
+    it must pass the logarithm of the number of words by `sure`. At most `entries` words, those with the most evidence, go to the driver.
     """
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,9 +137,8 @@ def lexicon(sample: DataFrame, entries: int = 4096, sure: float = 3.0) -> list[t
                 kinds = {w.strip(STRIP).lower() for w in (t.as_py() or b"").split()}
                 yield pa.RecordBatch.from_arrays([pa.array(sorted(kinds), pa.binary()), pa.array([y] * len(kinds), pa.int32())], names=["word", "y"])
 
-    counts = sample.select("y", F.col("text").cast("binary").alias("text")).mapInArrow(words, "word binary, y int")
-    sums = counts.groupBy("word").agg(F.sum("y").alias("bad"), F.count("*").alias("n"))
-    docs, bad_docs, kinds = *sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first(), counts.select("word").distinct().count()
+    sums = written(sample.select("y", "text").mapInArrow(words, "word binary, y int").groupBy("word").agg(F.sum("y").alias("bad"), F.count("*").alias("n")))
+    docs, bad_docs, kinds = *sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first(), sums.count()
     if not 0 < bad_docs < docs:
         return []
     p, share = F.col("bad") / F.col("n"), bad_docs / docs
@@ -166,9 +167,19 @@ def fit(docs: list[tuple[int, np.ndarray]], words: list[bytes], telling: np.ndar
     seen_odds = np.bincount(features, tags, len(f.odds))
     step = np.full(len(f.odds) + 4, 0.3)
     last = np.zeros_like(step)
+    ends = np.cumsum(sizes)
+    cuts = [0]
+    while cuts[-1] < len(sizes):  # chains are worked off in slices, whose arrays stay small
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(ends, at[cuts[-1]] + SLICE, "right"))))
+    slices = [(slice(a, b), slice(int(at[a]), int(ends[b - 1]))) for a, b in zip(cuts, cuts[1:])]
     for _ in range(steps):
-        chance, starts, moved = f.marginals(features, sizes)
-        g = np.concatenate([seen_odds - np.bincount(features, chance, len(f.odds)), [seen_start - starts[1]], (seen_moves - moved).ravel()[1:]])
+        expected, starts, moved = np.zeros(len(f.odds)), np.zeros(2), np.zeros((2, 2))
+        for chains, tokens in slices:
+            chance, begun, went = f.marginals(features[tokens], sizes[chains])
+            expected += np.bincount(features[tokens], chance, len(f.odds))
+            starts += begun
+            moved += went
+        g = np.concatenate([seen_odds - expected, [seen_start - starts[1]], (seen_moves - moved).ravel()[1:]])
         here = np.concatenate([f.odds, [f.start], f.moves.ravel()[1:]])
         g -= 0.05 * here
         same = g * last
@@ -180,10 +191,13 @@ def fit(docs: list[tuple[int, np.ndarray]], words: list[bytes], telling: np.ndar
     return f
 
 
-def trained(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, rows: int = 5000) -> Field:
-    """A field fitted on at most `rows` labelled documents outside the held-out fold; without toxic ones, a field that finds nothing."""
+def trained(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, rows: int = 8000, size: int = 64 << 20) -> Field:
+    """A field fitted on at most `rows` labelled documents outside the held-out fold, of at most `size` bytes together; without toxic ones, a field that finds nothing.
+
+    Two bytes for each of their words go to the driver. Null texts have no words; repeated rows count each; see labelled() for null labels and ids.
+    """
     docs = batched(docs)
-    sample = labelled(docs, labels, "toxic", folds, held_out, rows).select("y", "text")
+    sample = labelled(docs, labels, "toxic", folds, held_out, rows, size, {"text": F.col("text").cast("binary")})
     told = lexicon(sample)
     words = [w for w, _, _ in told]
     telling = np.array([False] + [bad >= 4 * other for _, bad, other in told])
@@ -195,9 +209,9 @@ def trained(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int =
             got = [np.array(features(t.as_py() or b""), np.int16).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.binary())], names=["y", "features"])
 
-    got = sample.select("y", F.col("text").cast("binary").alias("text")).mapInArrow(tagged, "y int, features binary").collect()
+    got = sample.select("y", "text").mapInArrow(tagged, "y int, features binary").collect()
     rows_ = sorted((r[0], bytes(r[1])) for r in got)
-    return fit([(y, np.frombuffer(x, np.int16).astype(np.int64)) for y, x in rows_], words, telling)
+    return fit([(y, np.frombuffer(x, np.int16)) for y, x in rows_], words, telling)
 
 
 def scored(docs: DataFrame, field: Field, span_least: float = 0.5) -> DataFrame:
@@ -218,12 +232,12 @@ def scored(docs: DataFrame, field: Field, span_least: float = 0.5) -> DataFrame:
             at = 0
             while at < len(texts):
                 end, size = at, 0
-                while end < len(texts) and (end == at or size < 4_000_000):
+                while end < len(texts) and (end == at or size < 1_000_000):
                     size += len(texts[end])
                     end += 1
-                own = [features(t) for t in texts[at:end]]
+                own = [np.array(features(t), np.int16) for t in texts[at:end]]
                 sizes = np.array([len(x) for x in own])
-                chance, _, _ = f.marginals(np.array([y for x in own for y in x], np.int64), sizes)
+                chance, _, _ = f.marginals(np.concatenate(own), sizes)
                 begin = 0
                 for t, n in zip(texts[at:end], sizes.tolist()):
                     c = chance[begin : begin + n]
