@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .store import batched, fold, read
+from .store import batched, fold, read, written
 
 #: N-grams in a profile, and the distance that an n-gram adds which the other profile lacks.
 TOP = 300
+#: N-grams that a worker holds before it counts them, but for one longer text; and languages at most, as their profiles go to the driver.
+HELD, MAX_LANGUAGES = 500_000, 4096
 
 
 def _grams():
@@ -48,27 +50,51 @@ def _ranked(grams: np.ndarray, counts: np.ndarray, top: int) -> np.ndarray:
     return grams[np.lexsort((grams, -counts))[:top]]
 
 
+def _first(known: DataFrame, rows: int) -> DataFrame:
+    """lang and last: of each language in known (lang, h), the 24 leading bits of the seeded hash h up to which it has `rows` rows; all ones if it has fewer.
+
+    Two histograms of twelve bits each, combined before they are shuffled, so no task ever sorts a language. known is read twice.
+    """
+    high, low = F.shiftrightunsigned("h", 52), F.shiftrightunsigned("h", 40) % 4096
+    run = F.sum("n").over(Window.partitionBy("lang").orderBy("b").rowsBetween(Window.unboundedPreceding, 0))
+    one = known.groupBy("lang", high.alias("b")).agg(F.count("*").alias("n")).withColumn("run", run).filter(f"run >= {rows}")
+    one = one.groupBy("lang").agg(F.min(F.struct("b", (F.col("run") - F.col("n")).alias("before"))).alias("x")).select("lang", F.col("x.b").alias("cell"), F.col("x.before").alias("before"))
+    inside = known.join(F.broadcast(one.withColumnRenamed("lang", "l")), (F.col("lang") == F.col("l")) & (high == F.col("cell")))
+    two = inside.groupBy("lang", "cell", "before", low.alias("b")).agg(F.count("*").alias("n")).withColumn("run", F.col("before") + run).filter(f"run >= {rows}")
+    return two.groupBy("lang").agg(F.min(F.col("cell") * 4096 + F.col("b")).alias("last"))
+
+
 def profiles(docs: DataFrame, folds: int = 3, held_out: int = 1, rows: int = 2000, top: int = TOP) -> dict[str, np.ndarray]:
-    """Language -> its most frequent n-grams in order, from at most `rows` documents of each language outside the held-out fold.
+    """Language -> its most frequent n-grams in order, from about `rows` documents of each language outside the held-out fold.
 
-    Texts or languages that are null are not learned from; with none at all there are no profiles.
+    They are the first by a seeded hash of doc_id; those that share the last one's 24 leading bits come along. Texts, ids or languages that
+    are null are not learned from, repeated rows count each, columns other than doc_id, lang and text are not read; with no row at all there are no profiles.
+    More than MAX_LANGUAGES are an error.
     """
-    docs = batched(docs)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(9), "doc_id"), "doc_id")
-    known = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & (fold("doc_id", folds) != held_out)).select("doc_id", "lang")
-    chosen = known.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= rows).select(F.col("doc_id").alias("y_id"), F.col("lang").alias("y")).distinct()
-    sample = docs.join(chosen, (docs["doc_id"] == chosen["y_id"]) & (docs["lang"] == chosen["y"])).select("y", "text")
+    docs = batched(docs.select("doc_id", "lang", "text"))
+    known = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & (fold("doc_id", folds) != held_out))
+    known = known.withColumn("h", F.xxhash64(F.lit(9), "doc_id"))
+    last = written(_first(known.select("lang", "h"), rows).withColumnRenamed("lang", "y"))
+    if last.limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    sample = known.join(F.broadcast(last), known["lang"] == last["y"], "left").filter(F.col("last").isNull() | (F.shiftrightunsigned("h", 40) <= F.col("last"))).select(F.col("lang").alias("y"), "text")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = _grams()
+
+        def told(y: str, parts: list) -> pa.RecordBatch:
+            g, n = np.unique(np.concatenate(parts), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array([y] * len(g)), pa.array(g), pa.array(n.astype(np.int64))], names=["y", "gram", "n"])
+
         for batch in batches:
             by: dict[str, list] = {}
             for y, t in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if (g := grams(t.as_py())) is not None:
                     by.setdefault(y, []).append(g)
+                    if sum(map(len, by[y])) > HELD:
+                        yield told(y, by.pop(y))
             for y, parts in by.items():
-                g, n = np.unique(np.concatenate(parts), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([y] * len(g)), pa.array(g), pa.array(n.astype(np.int64))], names=["y", "gram", "n"])
+                yield told(y, parts)
 
     sums = sample.mapInArrow(counted, "y string, gram long, n long").groupBy("y", "gram").agg(F.sum("n").alias("n"))
     best = sums.withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy(F.desc("n"), "gram"))).filter(F.col("r") <= top)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -11,9 +12,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a local one only where that is unset, as in tests."""
+    """The folder that the cluster names in spark.checkpoint.dir; a local one only where that is unset and the master is local, as in tests."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="tidevec-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -46,11 +49,17 @@ def fold(doc_id, buckets: int):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % buckets
 
 
-def batched(df: DataFrame, rows: int = 1000, size: str = "8m") -> DataFrame:
-    """df, after bounding the batches that Python workers get in its session, by rows and bytes. Operators call it themselves, as a session's default is 10,000 rows of any length."""
+def batched(df: DataFrame, rows: int = 1000, size: int = 4 << 20) -> DataFrame:
+    """df, after bounding the batches that Python workers get in its session, by rows and bytes. Operators call it themselves, as a session's default is 10,000 rows of any length.
+
+    The bounds stay in force in the session, since frames are evaluated later; smaller ones that it has already are kept.
+    """
     conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= rows:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    now = conf.get("spark.sql.execution.arrow.maxBytesPerBatch").lower().removesuffix("b")
+    if not now.isdigit() or int(now) > size:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
     return df
 
 
