@@ -27,7 +27,7 @@ GRAM = 100
 #: Suffixes with the same leading bytes in a bucket, about, before they are spread over several.
 HOT = 50_000
 #: Positions hashed at once, and bytes of suffixes sorted at once.
-SEGMENT, BUFFER = 1 << 18, 12 << 20
+SEGMENT, BUFFER = 1 << 18, 8 << 20
 
 
 class Anchors:
@@ -153,39 +153,42 @@ def _suffixes(docs: DataFrame, repeated: DataFrame, length: int) -> DataFrame:
 def multikey_quicksort(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of the rows of bytes in keys, and the common prefix of each with the row before it in that order.
 
-    All ranges of rows with an equal prefix are split at once by their next eight bytes; those that stay equal go on to the next.
+    All ranges of rows with an equal prefix are split at once in three, by their next eight bytes against those of the range's
+    middle row: less, equal and greater. Equal ones go on to the next eight bytes. A range of one row is done.
     """
     n, width = keys.shape
     words = np.zeros((n, -(-width // 8) * 8), np.uint8)
     words[:, :width] = keys
     words = words.view(">u8").astype(np.uint64)
-    order = np.arange(n)
+    deepest = words.shape[1]
+    order, place, depth = np.arange(n), np.arange(n), np.zeros(n, np.int64)  # depth: of the rows at place, the ranges still open
+    starts = np.zeros(min(n, 1), np.int64)  # of ranges, among place
+    while len(place):
+        sizes = np.diff(np.append(starts, len(place)))
+        rows = order[place]
+        value = words[rows, depth]
+        pivot = np.repeat(value[starts + sizes // 2], sizes)
+        side = np.repeat(3 * np.arange(len(starts)), sizes) + (value >= pivot) + (value > pivot)
+        by = np.argsort(side, kind="stable")
+        side = side[by]
+        order[place] = rows[by]
+        depth += side % 3 == 1
+        new = np.append(True, side[1:] != side[:-1])
+        size = np.diff(np.append(np.flatnonzero(new), len(place)))
+        open_ = (np.repeat(size, size) > 1) & (depth < deepest)
+        place, depth, starts = place[open_], depth[open_], np.flatnonzero(new[open_])
     prefix = np.zeros(n, np.int64)
-    open_ = np.ones(n, bool)  # equal so far to the row before
-    open_[:1] = False
-    for d in range(words.shape[1]):
-        active = np.flatnonzero(open_ | np.append(open_[1:], False))
-        if not len(active):
-            break
-        rows = order[active]
-        group = np.cumsum(~open_[active])
-        rows = rows[np.lexsort((words[rows, d], group))]
-        order[active] = rows
-        w = words[rows, d]
-        differ = np.zeros(len(rows), np.uint64)
-        differ[1:] = w[1:] ^ w[:-1]
-        here = open_[active]
-        split = here & (differ != 0)
-        if split.any():
-            same = sum((differ[split] >> np.uint64(8 * k) == 0).astype(np.int64) for k in range(8))
-            prefix[active[split]] = 8 * d + same
-        open_[active[split]] = False
-    prefix[open_] = width
+    if n > 1:
+        differ = words[order[1:]] ^ words[order[:-1]]
+        first = (differ != 0).argmax(axis=1)
+        word = np.take_along_axis(differ, first[:, None], axis=1)[:, 0]
+        same = sum((word >> np.uint64(8 * k) == 0).astype(np.int64) for k in range(8))
+        prefix[1:] = np.where(word == 0, width, 8 * first + same)
     return order, np.minimum(prefix, width)
 
 
-def repeated_windows(before: list[bytes], suffix: list[bytes], copies: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Whether the window that begins d bytes before suffix i occurs again: [i, d], with the least and largest d of each i."""
+def repeated_windows(before: list[bytes], suffix: list[bytes], copies: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Whether the window that begins d bytes before suffix i occurs again: [i, d], and whether i is the first with it, with the least and largest d of each i."""
     n, reach = len(suffix), length - GRAM
     right, left = np.zeros((n, length), np.uint8), np.zeros((n, reach), np.uint8)
     for i, (b, s) in enumerate(zip(before, suffix)):
@@ -193,7 +196,7 @@ def repeated_windows(before: list[bytes], suffix: list[bytes], copies: np.ndarra
         left[i, : len(b)] = np.frombuffer(b, np.uint8)[::-1]
     most = np.array([len(b) for b in before])
     least = np.array([length - len(s) for s in suffix])
-    out = np.zeros((n, reach + 1), bool)
+    out, one = np.zeros((n, reach + 1), bool), np.zeros((n, reach + 1), bool)
     r_order, r_prefix = multikey_quicksort(right)
     l_order, l_prefix = multikey_quicksort(left)
     r_class, l_class = np.zeros(n, np.int64), np.zeros(n, np.int64)
@@ -210,7 +213,8 @@ def repeated_windows(before: list[bytes], suffix: list[bytes], copies: np.ndarra
         twice[by[1:][same]] = True
         twice[by[:-1][same]] = True
         out[use, d] = twice | (copies[use] > 1)
-    return out, least, most
+        one[use[by[np.append(True, ~same)]], d] = True
+    return out, one, least, most
 
 
 def _spans(hit: np.ndarray, a: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -222,7 +226,7 @@ def _spans(hit: np.ndarray, a: np.ndarray, length: int) -> tuple[np.ndarray, np.
 
 
 def _buckets(suffixes: DataFrame, length: int) -> DataFrame:
-    """k1, k2, s, e: bytes to remove; or, with fp, a window of spread leading bytes that its bucket has once."""
+    """k1, k2, s, e: bytes to remove; or, with fp, a window of spread leading bytes, once per bucket: with its place if the bucket has it once, else without."""
     lead = F.coalesce(F.substring("suffix", 1, GRAM), F.col("before"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,16 +243,18 @@ def _buckets(suffixes: DataFrame, length: int) -> DataFrame:
                 return
             k1, k2, a, salt, copies = (rows.column(c).to_numpy() for c in ("k1", "k2", "a", "salt", "copies"))
             before, suffix = rows.column("before").to_pylist(), rows.column("suffix").to_pylist()
-            hit, least, most = repeated_windows(before, suffix, copies, length)
+            hit, one, least, most = repeated_windows(before, suffix, copies, length)
             row, s, e = _spans(hit, a, length)
             yield pa.RecordBatch.from_arrays([pa.array(k1[row]), pa.array(k2[row]), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32)), pa.nulls(len(row), pa.binary())], names=["k1", "k2", "s", "e", "fp"])
-            for i in np.flatnonzero(salt >= 0).tolist():
-                text = before[i] + suffix[i]
-                d = np.arange(least[i], most[i] + 1)
-                # a window that this bucket has twice is told once, so that other buckets see it
-                fp = [xxhash.xxh3_128_digest(text[most[i] - x : most[i] - x + length]) for x in d.tolist()]
-                begin = (a[i] - d).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(d), k1[i])), pa.array(np.full(len(d), k2[i])), pa.array(begin), pa.array(begin + np.int32(length)), pa.array(fp, pa.binary())], names=["k1", "k2", "s", "e", "fp"])
+            # A window that this bucket has twice is told once, so that other buckets see it.
+            row, d = np.nonzero(one & (salt >= 0)[:, None])
+            for at in range(0, len(row), 50_000):
+                i, x = row[at : at + 50_000], d[at : at + 50_000]
+                fp = [xxhash.xxh3_128_digest((before[j] + suffix[j])[m : m + length]) for j, m in zip(i.tolist(), (most[i] - x).tolist())]
+                known = hit[i, x]
+                begin = (a[i] - x).astype(np.int32)
+                places = [pa.array(v, mask=known) for v in (k1[i], k2[i], begin, begin + np.int32(length))]
+                yield pa.RecordBatch.from_arrays([*places, pa.array(fp, pa.binary())], names=["k1", "k2", "s", "e", "fp"])
 
         held, size, last = [], 0, None
         for batch in batches:
@@ -280,7 +286,7 @@ def repeats(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFrame:
     # Across the boundaries of buckets that share leading bytes: equal windows have equal fingerprints.
     open_ = found.filter("fp is not null")
     again = open_.groupBy("fp").agg(F.count("*").alias("c")).filter("c > 1").select("fp")
-    across = open_.join(again, "fp", "left_semi").select("k1", "k2", "s", "e")
+    across = open_.filter("s is not null").join(again, "fp", "left_semi").select("k1", "k2", "s", "e")
     all_ = found.filter("fp is null").select("k1", "k2", "s", "e").unionByName(across)
     return all_.groupBy("k1", "k2").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
