@@ -143,16 +143,16 @@ def mix(rows: DataFrame, quota: dict, repeats: int = 2) -> DataFrame:
 
 
 def sized(docs: DataFrame, seed: int = 5) -> DataFrame:
-    """docs with size (words, null text: 0), members (its source alone) and h (seeded, of the whole row)."""
+    """row (docs' columns, whatever their names), size (words, null text: 0), members (its source alone) and h (seeded, of doc_id, text and source: rows equal in these are taken alike)."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select("*", size.alias("size"), F.array(F.col("source").cast("string")).alias("members"), F.xxhash64(F.lit(seed), *[docs[c] for c in docs.columns if c in ("doc_id", "text", "source")]).alias("h"))
+    return docs.select(F.struct("*").alias("row"), size.alias("size"), F.array(F.col("source").cast("string")).alias("members"), F.xxhash64(F.lit(seed), "doc_id", "text", "source").alias("h"))
 
 
 def taken(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """rows with copies: how often the mix takes each."""
+    """rows (of sized()) with copies: how often the mix takes each. Null sources are one pattern; no rows, none."""
     more = F.col("cut").isNotNull() & (F.col("h").bitwiseXOR(F.lit(-(2**63))) < F.col("cut"))
     joined = rows.join(F.broadcast(plan), rows["members"].eqNullSafe(plan["pattern"]))  # a row per pattern, MAX_PATTERNS at most
-    return joined.select(*[rows[c] for c in rows.columns], (F.col("copies") + more.cast("int")).alias("copies"))
+    return joined.select(*[rows[c] for c in rows.columns], (plan["copies"] + more.cast("int")).alias("copies"))
 
 
 def source_targets(rows: DataFrame) -> tuple[dict, dict]:
@@ -168,11 +168,11 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     rows = sized(docs)
     narrow = written(rows.select("members", "size", "h"))
     plan = mix(narrow, source_targets(narrow)[1])
-    return taken(rows, plan).withColumn("copy", F.explode(F.expr("array_repeat(0, copies)"))).select(*docs.columns)
+    return taken(rows, plan).select("row", F.explode(F.expr("array_repeat(0, copies)"))).select("row.*")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = written(sized(read(spark, sf_dir, "documents")).select("doc_id", "source", "size", "members", "h"))
+    rows = written(sized(read(spark, sf_dir, "documents")).select("row.doc_id", "row.source", "size", "members", "h"))
     sizes, want = source_targets(rows)
     plan = mix(rows, want)
     about = spark.createDataFrame([(s, sizes[s], want[s]) for s in sizes], "name string, source_size long, target double")
