@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +28,7 @@ def communication_matrix(counts: list[int], shards: int, seed: int) -> np.ndarra
     out = np.zeros((len(counts), shards), np.int64)
     for b, n in enumerate(counts):
         left, rest = n, int(room.sum())
-        for j in range(shards):  # marginal by marginal: numpy's own draw is limited to 10**9 rows
+        for j in range(shards):  # marginal by marginal
             rest -= int(room[j])
             if left and room[j]:
                 take = _hypergeometric(rng, int(room[j]), rest, left)
@@ -36,11 +38,19 @@ def communication_matrix(counts: list[int], shards: int, seed: int) -> np.ndarra
 
 
 def _hypergeometric(rng, good: int, bad: int, draws: int) -> int:
-    if good + bad < 10**9:
-        return int(rng.hypergeometric(good, bad, draws))
-    mean = draws * good / (good + bad)  # the normal law, clipped to what is possible
-    var = mean * bad / (good + bad) * (good + bad - draws) / max(1, good + bad - 1)
-    return min(max(round(rng.normal(mean, var**0.5)), draws - bad, 0), good, draws)
+    """A draw from the hypergeometric law, of any size: its chances relative to the most likely number follow from the ratios of neighbours.
+
+    They are summed as far as 12 deviations and more from that number, beyond which less than a double's last bit lies.
+    """
+    low, high, total = max(0, draws - bad), min(good, draws), good + bad
+    mode = min(max((draws + 1) * (good + 1) // (total + 2), low), high)
+    spread = 12 * math.isqrt(draws * good // total * bad // total * (total - draws) // max(1, total - 1) + 1) + 60
+    up = np.arange(mode, min(high, mode + spread), dtype=np.float64)
+    down = np.arange(mode, max(low, mode - spread), -1, dtype=np.float64)
+    above = np.cumprod((good - up) * (draws - up) / ((up + 1) * (bad - draws + up + 1)))
+    below = np.cumprod(down * (bad - draws + down) / ((good - down + 1) * (draws - down + 1)))
+    chances = np.cumsum(np.concatenate([below[::-1], [1.0], above]))
+    return mode - len(below) + int(np.searchsorted(chances, rng.random() * chances[-1], "right"))
 
 
 def shuffled_into_shards(df: DataFrame, shards: int = 16, seed: int = 17, cell_rows: int = 200_000) -> DataFrame:
