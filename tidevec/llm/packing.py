@@ -24,29 +24,36 @@ def vocabulary(name: str = "byte_bpe_50k.tiktoken") -> str:
 
 
 def _encoder(path: str):
-    """text -> uint32 ids of the byte-level vocabulary whose ranks are in path; special tokens' strings are ordinary text."""
+    """text -> uint32 ids as of Tokenizer.encode(text, add_special_tokens=False) over the .json beside path, the byte-level vocabulary's ranks.
+
+    tiktoken is about four times as fast with equal ids; texts with the string of a token added to the vocabulary go to that library.
+    """
     import base64
+    import json
 
     import public_tokenizers
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    library = path.replace(".tiktoken", ".json")
+    with open(library, encoding="utf-8") as f:
+        added = [x["content"] for x in json.load(f).get("added_tokens") or []]
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     slow = []
 
     def ids(text: str) -> np.ndarray:
         try:
-            return fast.encode_to_numpy(text, disallowed_special=())
+            if not any(x in text for x in added):
+                return fast.encode_to_numpy(text, disallowed_special=())
         except BaseException as e:  # its regex gives up on runs of spaces of about a million
             if isinstance(e, KeyboardInterrupt):
                 raise
-            from tokenizers import Tokenizer
+        from tokenizers import Tokenizer
 
-            if not slow:
-                slow.append(Tokenizer.from_file(path.replace(".tiktoken", ".json")))
-                slow[0].encode_special_tokens = True
-            return np.array(slow[0].encode(text, add_special_tokens=False).ids, np.uint32)
+        if not slow:
+            slow.append(Tokenizer.from_file(library))
+        return np.array(slow[0].encode(text, add_special_tokens=False).ids, np.uint32)
 
     return ids
 
