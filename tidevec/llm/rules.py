@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import math
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .store import read, written
 
 SPACE = "\t\n\x0b\x0c\r"
+SYMBOLS = "#*$%&|<>"
 
 
 def _repeated_words(words: str) -> Column:
@@ -25,7 +27,7 @@ def _repeated_words(words: str) -> Column:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id and what the rules look at, of the whole text; null texts count as empty."""
+    """doc_id and what the rules look at, of the whole text; null texts count as empty, repeated rows each; other columns are not read; no rows give none."""
     text = F.coalesce(F.col("text"), F.lit(""))
     plain = F.translate(text, SPACE, " " * len(SPACE))
     words = F.filter(F.split(plain, " "), lambda w: w != "")
@@ -36,13 +38,15 @@ def features(docs: DataFrame) -> DataFrame:
         "doc_id",
         F.size("words").cast("long").alias("n_words"),
         word_chars.cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         _repeated_words("words").cast("long").alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"),
         F.size(F.array_distinct("words")).cast("long").alias("n_distinct"),
         (F.length("text") - F.length(F.translate("text", "!?{}[]=_~^\\", ""))).cast("long").alias("n_marks"),
         F.length(F.regexp_replace("text", r"[^\p{Lu}]", "")).cast("long").alias("n_upper"),
+        sum(F.contains("text", F.lit(c)).cast("long") for c in SYMBOLS).alias("n_symbol_kinds"),
+        F.size(F.filter("words", lambda w: F.translate(w, SYMBOLS, "") == "")).cast("long").alias("n_symbol_words"),
     )
 
 
@@ -56,6 +60,8 @@ def votes() -> dict[str, Column]:
         "length": rule(F.col("n_words") < 15, F.col("n_words") >= 80),
         "word_length": rule((chars / n < 2) | (chars / n > 14), (chars / n).between(3, 10)),
         "symbols": rule(F.col("n_symbols") > 0.1 * n, F.col("n_symbols") <= 0.02 * n),
+        "symbol_kinds": rule(F.col("n_symbol_kinds") >= 4, F.col("n_symbol_kinds") <= 1),
+        "symbol_words": rule(F.col("n_symbol_words") > 0.05 * n, F.col("n_symbol_words") <= 0.01 * n),
         "lines": rule((F.col("n_dup_lines") >= 3) & (F.col("n_dup_lines") > 0.3 * F.col("n_lines")), F.col("n_dup_lines") <= 0.1 * F.col("n_lines")),
         "repeats": rule(F.col("n_repeat_words") > 0.4 * n, F.col("n_repeat_words") <= 0.2 * n),
         "variety": rule(long & (F.col("n_distinct") < 0.2 * n), long & (F.col("n_distinct") >= 0.35 * n)),
@@ -64,48 +70,70 @@ def votes() -> dict[str, Column]:
     }
 
 
-#: What expectation-maximisation may believe of a rule: its share of bad votes on good documents (false alarms)
-#: and on bad ones (no rule sees every kind of bad), and how much likelier a good vote is on good ones.
-ALARMS, SEES, FAVOURS = (0.001, 0.005), (0.1, 0.25), (1.0, 1.1)
-OUTCOMES = (0, None, 1)
+#: Prior beliefs, as counts of votes (bad, good) of a rule: on good documents, on bad ones, and on bad ones of a kind that the rule has revealed. They
+#: say which class is which and weigh no more than so many documents.
+ON_GOOD, ON_BAD, ON_OWN = (1.0, 19.0), (4.0, 16.0), (16.0, 4.0)
+#: Rules that agree on defects by this log-likelihood ratio above chance, and twice as often at least, reveal a kind of bad documents.
+SURE = 12.0
 
 
-def accuracies(patterns: dict[tuple, int], steps: int = 50) -> tuple[float, list[dict]]:
-    """The share of good documents, and per rule its chances of each vote on good and on bad ones, by expectation-maximisation.
+@dataclass
+class Kinds:
+    """Class 0 is the good documents, the others are kinds of bad ones. shares: of each class; bad: [class, rule], the chance of a bad vote if the rule votes."""
 
-    patterns: votes -> number of documents; there are at most 3 to the power of the rules, whatever the corpus' size.
-    The bounds above keep the two classes what they are named, however rules hang together. No rows: the start.
+    shares: np.ndarray
+    bad: np.ndarray
+
+    def joint(self, bad: np.ndarray, good: np.ndarray) -> np.ndarray:
+        """Chances of each class, given rows of bad and good votes; rules that abstain say nothing."""
+        odds = np.log(self.shares) + bad @ np.log(self.bad).T + good @ np.log1p(-self.bad).T
+        p = np.exp(odds - odds.max(axis=1, keepdims=True))
+        return p / p.sum(axis=1, keepdims=True)
+
+    def posterior(self, votes: list[tuple]) -> np.ndarray:
+        """The chance that a document with these votes is good."""
+        return self.joint(*_votes(votes, self.bad.shape[1]))[:, 0]
+
+
+def _votes(votes: list[tuple], rules: int) -> tuple[np.ndarray, np.ndarray]:
+    at = np.array([[-1 if v is None else v for v in row] for row in votes], np.int64).reshape(len(votes), rules)
+    return (at == 0).astype(float), (at == 1).astype(float)
+
+
+def accuracies(patterns: dict[tuple, int], rules: int, steps: int = 2000) -> Kinds:
+    """How often each rule votes bad on good documents and on each kind of bad ones, by expectation-maximisation.
+
+    patterns: votes -> number of documents; there are at most 3 to the power of the rules, whatever the corpus' size. It begins with one kind of bad
+    documents, in which every rule has some part. Rules that still agree on bad votes within a class more than chance allows
+    reveal a further kind, until no two do. Nothing bounds the chances: a rule that fires on good documents on its own loses its weight. No rows: the prior.
     """
-    rules = len(next(iter(patterns), ()))
-    prior, chance = 0.8, [{0: (0.005, 0.2), None: (0.495, 0.4), 1: (0.5, 0.4)}] * rules
-    for _ in range(steps if patterns else 0):
-        total = good = 0.0
-        sums = [{v: [1.0, 1.0] for v in OUTCOMES} for _ in range(rules)]
-        for vote, n in patterns.items():
-            p = posterior(vote, prior, chance)
-            total += n
-            good += n * p
-            for s, v in zip(sums, vote):
-                s[v][0] += n * p
-                s[v][1] += n * (1 - p)
-        prior = min(0.9, max(0.5, (good + 4) / (total + 5)))
-        chance = []
-        for s in sums:
-            alarm = min(max(s[0][0] / sum(x[0] for x in s.values()), ALARMS[0]), ALARMS[1])
-            sees = min(max(s[0][1] / sum(x[1] for x in s.values()), SEES[0]), SEES[1])
-            of_good = s[1][0] / (s[1][0] + s[None][0])
-            of_bad = s[1][1] / (s[1][1] + s[None][1])
-            of_bad = min(max(of_bad, of_good / FAVOURS[1]), of_good / FAVOURS[0])
-            chance.append({0: (alarm, sees), None: ((1 - alarm) * (1 - of_good), (1 - sees) * (1 - of_bad)), 1: ((1 - alarm) * of_good, (1 - sees) * of_bad)})
-    return prior, chance
-
-
-def posterior(vote: tuple, prior: float, chance: list[dict]) -> float:
-    odds = math.log(prior / (1 - prior))
-    for v, c in zip(vote, chance):
-        if v is not None:  # a rule that abstains says nothing
-            odds += math.log(c[v][0] / c[v][1])
-    return 1 / (1 + math.exp(-max(-700.0, min(700.0, odds))))
+    bad, good = _votes(list(patterns), rules)
+    n = np.array(list(patterns.values()), float)
+    pulls = [np.tile(np.array(x)[:, None], rules) for x in (ON_GOOD, ON_BAD)]  # per class: [bad or good, rule]
+    while True:
+        prior = np.array([x.sum(axis=0).max() for x in pulls]) * np.where(np.arange(len(pulls)) == 0, 4.0, 1.0)
+        kinds = Kinds(prior / prior.sum(), np.stack([x[0] / x.sum(axis=0) for x in pulls]))
+        for _ in range(steps if len(n) else 0):
+            weight = kinds.joint(bad, good).T * n
+            b, g = weight @ bad + np.stack([x[0] for x in pulls]), weight @ good + np.stack([x[1] for x in pulls])
+            shares = weight.sum(axis=1) + prior
+            last, kinds = kinds, Kinds(shares / shares.sum(), b / (b + g))
+            if np.abs(kinds.bad - last.bad).max() < 1e-9:
+                break
+        if not len(n) or len(pulls) > rules:
+            return kinds
+        agree = np.zeros((rules, rules))
+        for weight in kinds.joint(bad, good).T * n:
+            one, both = weight @ bad, (bad * weight[:, None]).T @ bad
+            chance = np.outer(one, one) / max(weight.sum(), 1e-300)
+            ratio = both * np.log(np.maximum(both, 1e-300) / np.maximum(chance, 1e-300)) - both + chance
+            agree = np.maximum(agree, np.where(both > 2 * chance, ratio, 0.0))
+        np.fill_diagonal(agree, 0.0)
+        if agree.max() <= SURE:
+            return kinds
+        own = np.array(ON_BAD)[:, None] * np.ones(rules)
+        own[:, list(np.unravel_index(agree.argmax(), agree.shape))] = np.array(ON_OWN)[:, None]
+        pulls.append(own)
 
 
 def judged(rows: DataFrame) -> DataFrame:
@@ -113,10 +141,11 @@ def judged(rows: DataFrame) -> DataFrame:
     spark, rules = rows.sparkSession, votes()
     names = [f"vote_{r}" for r in rules]
     cast = [c.cast("int").alias(n) for n, c in zip(names, rules.values())]
-    counts = {tuple(r[:-1]): r[-1] for r in rows.select(*cast).groupBy(*names).count().collect()}
-    prior, chance = accuracies(counts)
+    counts = {tuple(r[:-1]): r[-1] for r in rows.select(*cast).groupBy(*names).count().collect()}  # 3 to the power of the rules at most
+    known = sorted(counts, key=repr)
+    quality = accuracies({v: counts[v] for v in known}, len(rules)).posterior(known)
     schema = ", ".join(f"{n} int" for n in names) + ", quality double"
-    table = spark.createDataFrame([(*v, posterior(v, prior, chance)) for v in counts], schema)
+    table = spark.createDataFrame([(*v, float(q)) for v, q in zip(known, quality)], schema)
     voted = rows.select("*", *cast)
     same = [voted[n].eqNullSafe(table[n]) for n in names]
     return voted.join(F.broadcast(table), same).select(*[voted[c] for c in rows.columns], "quality")
