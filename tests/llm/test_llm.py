@@ -70,7 +70,8 @@ def test_large_groups_that_overlap_lose_no_pair(spark):
     root = {sig: sig // 2 for sig in sets}
     sketch = {sig: jaccard.parity_bits(x, 8 if sig % 3 else 16) for sig, x in sets.items()}
     groups = {gid * 97 - 1500: [sig for sig in sets if rng.random() < 0.5] for gid in range(40)}
-    rows = [(gid, sig, root[sig], len(sets[sig]), sketch[sig].tobytes()) for gid, sigs in groups.items() for sig in sigs]
+    rows = [(gid, sig, root[sig], len(sigs)) for gid, sigs in groups.items() for sig in sigs]
+    told = spark.createDataFrame([(sig, len(x), sketch[sig].tobytes()) for sig, x in sets.items()], "sig long, n long, wide binary")
 
     def possible(a, b):
         p, q = sorted((sketch[a], sketch[b]), key=len)
@@ -79,8 +80,10 @@ def test_large_groups_that_overlap_lose_no_pair(spark):
         return 100 * min(n) >= 80 * max(n) and int(np.bitwise_count(p ^ q).sum()) * 180 <= 20 * sum(n)
 
     want = {(a, b) for sigs in groups.values() for a in sigs for b in sigs if a < b and root[a] != root[b] and possible(a, b)}
-    got = jaccard._across(spark.createDataFrame(rows, "gid long, sig long, root long, n long, sketch binary"), 80).collect()
-    assert want and sorted(map(tuple, got)) == sorted(want)
+    size = jaccard.BLOCK
+    for jaccard.BLOCK in (5, size):
+        got = list(map(tuple, jaccard._across(spark.createDataFrame(rows, "gid long, sig long, root long, c long"), told, 80).collect()))
+        assert want and want <= set(got) and len(set(got)) == len(got) and all(a < b and root[a] != root[b] and possible(a, b) for a, b in got)
 
 
 def test_parity_sketch_bounds_the_difference():
@@ -89,7 +92,26 @@ def test_parity_sketch_bounds_the_difference():
     b = np.unique(np.concatenate([a[10:], rnd.integers(0, 2**64, 12, np.uint64)]))
     x, y = jaccard.parity_bits(a, 16), jaccard.parity_bits(b, 16)
     assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
-    assert (jaccard.piece_keys(a, 9, 210, 80) == jaccard.piece_keys(b, 9, 210, 80)).any()
+    assert len(np.intersect1d(jaccard.piece_keys(a, 9, 210, 80), jaccard.piece_keys(b, 9, 210, 80)))
+
+
+def test_linked_sets_share_a_key_and_unrelated_ones_of_a_size_do_not():
+    rnd = np.random.default_rng(2)
+    new = lambda n: rnd.integers(0, 2**64, n, np.uint64)
+    for percent in (80, 85):
+        band_of, top_of = jaccard.bands(percent)
+        keys = lambda x, band: jaccard.piece_keys(x, band, top_of(band), percent)
+        for n in [*range(1, 60), 300, 1000] * 4:
+            a = np.unique(new(n))
+            drop = int(rnd.integers(0, (100 - percent) * n // 100 + 1))
+            add = max(0, (100 * (n - drop)) // percent - n)  # the most that leaves them linked
+            b = np.unique(np.concatenate([a[drop:], new(int(rnd.integers(0, add + 1)))]))
+            if 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b)):
+                bands = [{x, x + 1} for x in (band_of(len(a)), band_of(len(b)))]
+                assert any(len(np.intersect1d(keys(a, x), keys(b, x))) for x in bands[0] & bands[1])
+        some = [np.unique(new(n)) for n in (200,) * 400]
+        got = np.concatenate([np.unique(keys(x, band)) for x in some for band in (band_of(len(x)), band_of(len(x)) + 1)])
+        assert len(np.unique(got)) == len(got)
 
 
 @pytest.mark.parametrize("hot", [50_000, 2])
@@ -124,7 +146,8 @@ def test_packing_round_trip(docs, empty):
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(packing.vocabulary("byte_bpe_50k.json"))
-    slow.encode_special_tokens = True
+    docs = docs.unionByName(docs.filter("doc_id = 0").selectExpr("700 as doc_id", "'a <|endoftext|> b<|endoftext|>' as text", "lang", "source", "n_chars", "score"))
+    assert 50256 in slow.encode("a <|endoftext|> b", add_special_tokens=False).ids
     want = {}
     for r in docs.collect():
         ids = slow.encode(r.text or "", add_special_tokens=False).ids + [0]
@@ -179,6 +202,13 @@ def test_sharding(docs, empty):
     assert all(sorted(x) == list(range(len(x))) for x in slots.values())
     sizes = [len(x) for x in slots.values()]
     assert len(rows) == docs.count() and max(sizes) - min(sizes) <= 1
+    rng = np.random.default_rng(4)
+    for good, bad, draws in ((7, 9, 6), (50, 3, 20), (1, 1000, 3)):
+        got, want = ([f(good, bad, draws) for _ in range(20_000)] for f in (lambda *x: sharding._hypergeometric(rng, *x), rng.hypergeometric))
+        assert np.abs(np.bincount(got, minlength=draws + 1) - np.bincount(want, minlength=draws + 1)).max() < 500
+    big = np.array([sharding._hypergeometric(rng, 10**11, 15 * 10**11, 4 * 10**8) for _ in range(300)])
+    mean, deviation = 4e8 / 16, (4e8 / 16 * 15 / 16 * (1 - 4e8 / 16e11)) ** 0.5
+    assert abs(big.mean() - mean) < deviation / 3 and abs(big.std() / deviation - 1) < 0.2
     m = sharding.communication_matrix([5, 0, 20, 8], 3, 1)
     assert m.sum(axis=1).tolist() == [5, 0, 20, 8] and m.sum(axis=0).tolist() == [11, 11, 11]
     assert sharding.shuffled_into_shards(empty.select("doc_id")).count() == 0

@@ -2,22 +2,25 @@
 
 A document's set of word shingles is folded into bits: each shingle flips the bit that its hash names, so shared
 shingles cancel out and the Hamming distance of two sketches is at most the size of the symmetric
-difference. Within a band of set sizes, a similarity of t bounds that difference by a number d; of d + 1 pieces of the sketch
-at least one is then equal. Documents meet on equal pieces, and every pair so met is verified or already
-connected, so no link that matters for the components is lost.
+difference. Within a band of set sizes, a similarity of t bounds that difference by a number d; of d + 1 + s pieces of the sketch
+at least s + 1 are then equal. Documents meet on equal pieces, and every pair so met is verified or already
+connected, so no link that matters for the components is lost. Pieces without any flipped bit say nothing, and unrelated sets would
+meet on them: a set names them only if it has more than s. Of a linked pair's s + 1 equal pieces one is then not empty, or both ends
+have more than s empty ones and both name them.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .graph import components, small_enough
 from .store import batched, dropped, read, released, written
@@ -25,10 +28,8 @@ from .texts import mixed, signed
 
 #: Bytes of piece keys that a bucket holds on average; a task sorts one bucket at a time.
 BUCKET = 16 << 20
-#: Documents in a block of a large group that must be compared pair by pair, and the most in a group that is not large.
-BLOCK, FEW = 2048, 48
-#: Large groups that a set lists, the lowest ones: a pair that lists a lower group in common is left to that group.
-LISTED = 16
+#: Documents, and bytes of their sketches, about, in a block of a large group that must be compared pair by pair, and the most documents in a group that is not large.
+BLOCK, BLOCK_BYTES, FEW = 2048, 2 << 20, 48
 
 
 def _shingler(width: int):
@@ -77,17 +78,33 @@ def difference(top: int, percent: int) -> int:
     return (100 - percent) * 2 * top // (100 + percent)
 
 
+@lru_cache(None)
+def spare(top: int, percent: int) -> int:
+    """Pieces beyond d + 1 in a band: about as many as its smallest sets, those of the band below, leave empty, and five deviations more.
+
+    In bands of very small sets, where more pieces would leave more of them empty, at most d + 3; this sets the cost only.
+    """
+    least, need, more = max(1, top * percent * percent // 10_000), difference(top, percent) + 1, 0
+    for _ in range(4):
+        empty = (need + more) * (1 - 1 / (need + more)) ** least
+        more = min(math.ceil(empty + 5 * math.sqrt(empty)), need + 2)
+    return more
+
+
 def piece_keys(shingles: np.ndarray, band: int, top: int, percent: int, flips: np.ndarray | None = None) -> np.ndarray:
-    """Keys of the d + 1 pieces of a set's parity sketch in a band: 64 bits for each piece, whose bit flips are folded by XOR.
+    """Keys of the d + 1 + s pieces of a set's parity sketch in a band: 64 bits for each piece, whose bit flips are folded by XOR. Empty ones only if more than s are.
 
     shingles are sorted hashes, so their upper halves name the pieces in order. flips: folds() of them, if at hand.
     """
-    pieces = difference(top, percent) + 1
+    free = spare(top, percent)
+    pieces = difference(top, percent) + 1 + free
     which = ((shingles >> np.uint64(32)) * np.uint64(pieces)) >> np.uint64(32)
     sums = folds(shingles) if flips is None else flips
     at = np.searchsorted(which, np.arange(pieces + 1, dtype=np.uint64))
     parity = sums[at[1:]] ^ sums[at[:-1]]
-    return mixed(parity + np.arange(pieces, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((band + 1) * 0xC2B2AE3D27D4EB4F % 2**64))
+    keys = mixed(parity + np.arange(pieces, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((band + 1) * 0xC2B2AE3D27D4EB4F % 2**64))
+    told = parity != 0
+    return keys[told] if pieces - np.count_nonzero(told) <= free else keys
 
 
 def folds(shingles: np.ndarray) -> np.ndarray:
@@ -109,17 +126,17 @@ def parity_bits(shingles: np.ndarray, words: int) -> np.ndarray:
 def _pieces(docs: DataFrame, width: int, percent: int, buckets: int) -> DataFrame:
     """Two kinds of rows. With keys: bucket, keys, sigs: piece keys with their sets' signatures, packed by bucket; equal sets of a batch once.
 
-    Without keys: doc_id, n (size of the set), sig (a 64-bit hash of it, null if empty) and a bucket that means nothing.
+    Without keys: doc_id, row (a hash of the text), n (size of the set), sig (a 64-bit hash of it, null if empty) and a bucket that means nothing.
     """
     import xxhash
 
-    names = ["bucket", "keys", "sigs", "doc_id", "n", "sig"]
+    names = ["bucket", "keys", "sigs", "doc_id", "row", "n", "sig"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, (band_of, top_of) = _shingler(width), bands(percent)
         for batch in batches:
             keys, sigs, done, sizes, own_sigs = [], [], set(), [], []
-            for t in batch.column(1):
+            for t in batch.column(2):
                 s = shingles(t.as_py() or b"")
                 sizes.append(len(s))
                 if not len(s):
@@ -137,7 +154,7 @@ def _pieces(docs: DataFrame, width: int, percent: int, buckets: int) -> DataFram
                     sigs.append(np.full(len(k), sig, np.int64))
             rows = batch.num_rows
             spread = np.arange(rows, dtype=np.int64) * 7919 % buckets
-            yield pa.RecordBatch.from_arrays([pa.array(spread), pa.nulls(rows, pa.binary()), pa.nulls(rows, pa.binary()), batch.column(0), pa.array(sizes, pa.int64()), pa.array(own_sigs, pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(spread), pa.nulls(rows, pa.binary()), pa.nulls(rows, pa.binary()), batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(own_sigs, pa.int64())], names=names)
             if not keys:
                 continue
             key, sig = np.concatenate(keys), np.concatenate(sigs)
@@ -150,13 +167,13 @@ def _pieces(docs: DataFrame, width: int, percent: int, buckets: int) -> DataFram
                 offsets = pa.array(((part - part[0]) * 8).astype(np.int32))
                 pack = lambda x: pa.BinaryArray.from_buffers(pa.binary(), len(part) - 1, [None, offsets.buffers()[1], pa.py_buffer(x[part[0] : part[-1]].tobytes())])  # noqa: E731, B023
                 empty = pa.nulls(len(part) - 1, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[part[:-1]].astype(np.int64)), pack(key), pack(sig), empty, empty, empty], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[part[:-1]].astype(np.int64)), pack(key), pack(sig), empty, empty, empty, empty], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(cut, "bucket long, keys binary, sigs binary, doc_id long, n long, sig long")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row"), F.col("text").cast("binary").alias("text")).mapInArrow(cut, "bucket long, keys binary, sigs binary, doc_id long, row long, n long, sig long")
 
 
 def _groups(pieces: DataFrame, buckets: int, chunk: int = 4 << 20) -> DataFrame:
-    """gid, sig: signatures that meet on a piece, each set of them once per bucket; and the rows doc_id, n, sig of pieces as they are, with a null gid.
+    """gid, sig: signatures that meet on a piece, each set of them once per bucket; and the rows doc_id, row, n, sig of pieces as they are, with a null gid.
 
     A bucket that a hot key makes longer than `chunk` keys is worked off in chunks, each of which also holds one
     signature of every key before it; its groups are then numbered by key, so a key's members share a gid.
@@ -184,7 +201,7 @@ def _groups(pieces: DataFrame, buckets: int, chunk: int = 4 << 20) -> DataFrame:
         def out(gid: np.ndarray, sig: np.ndarray) -> Iterator[pa.RecordBatch]:
             for at in range(0, len(gid), 100_000):
                 g, m = signed(np.ascontiguousarray(gid[at : at + 100_000])), sig[at : at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(m), pa.nulls(len(g), pa.int64()), pa.nulls(len(g), pa.int64())], names=["gid", "sig", "doc_id", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(m), *[pa.nulls(len(g), pa.int64())] * 3], names=["gid", "sig", "doc_id", "row", "n"])
 
         def flush(keys: list, sigs: list, full: bool, rest: list) -> Iterator[pa.RecordBatch]:
             """One chunk of a bucket. rest holds, for the chunks before, one (key, sig) of each key: what later chunks link to."""
@@ -195,7 +212,7 @@ def _groups(pieces: DataFrame, buckets: int, chunk: int = 4 << 20) -> DataFrame:
         bucket, keys, sigs, size, rest = None, [], [], 0, []
         for batch in batches:
             plain = batch.filter(pc.is_null(batch.column("keys")))
-            yield pa.RecordBatch.from_arrays([pa.nulls(plain.num_rows, pa.int64()), *(plain.column(c) for c in ("sig", "doc_id", "n"))], names=["gid", "sig", "doc_id", "n"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(plain.num_rows, pa.int64()), *(plain.column(c) for c in ("sig", "doc_id", "row", "n"))], names=["gid", "sig", "doc_id", "row", "n"])
             batch = batch.filter(pc.is_valid(batch.column("keys")))
             for b, k, s in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 if b != bucket or size >= chunk:
@@ -210,7 +227,7 @@ def _groups(pieces: DataFrame, buckets: int, chunk: int = 4 << 20) -> DataFrame:
         if keys:
             yield from flush(keys, sigs, False, rest)
 
-    return pieces.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "gid long, sig long, doc_id long, n long")
+    return pieces.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "gid long, sig long, doc_id long, row long, n long")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -291,27 +308,29 @@ def _apart(members: DataFrame) -> DataFrame:
     return lists.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
 
 
-def _across(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) in the same group (gid) but different components (root) whose sketches and sizes allow a link; compared block by block.
+def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components (root) whose sketches and sizes allow a link: all such pairs of a group are among them.
 
-    Near copies share many groups. In the lowest that they share a pair always counts, in others only if the LISTED lowest groups
-    of its ends don't show a lower one in common: no pair is lost, and few come up again.
+    members: gid, sig, root and c, the size of the group. Near copies share many groups, so each set is taken once, into its largest one, its home; homes of
+    which a group has members are compared, block by block. sets: sig, n and wide, the sketch; rows that it lacks are left out.
     """
-    sizes = members.groupBy("gid").agg(F.count("*").alias("c"))
-    block = F.pmod(F.xxhash64(F.lit(7), "sig"), F.ceil(F.col("c") / BLOCK)).cast("long")
-    low = members.groupBy("sig").agg(F.slice(F.sort_array(F.collect_set("gid")), 1, LISTED).alias("low"))
-    rows = members.join(sizes, "gid").join(low, "sig").withColumn("block", block).withColumn("low", F.expr("filter(low, x -> x < gid)"))
-    blocks = written(rows.groupBy("gid", "block").agg(F.collect_list(F.struct("sig", "root", "n", "sketch", "low")).alias("rows")))
-    left, right = blocks.select("gid", F.col("block").alias("i"), F.col("rows").alias("x")), blocks.select("gid", F.col("block").alias("j"), F.col("rows").alias("y"))
-    met = left.join(right, "gid").filter("i <= j").select("x", "y")
+    at_home = members.withColumn("home", F.max(F.struct("c", "gid")).over(Window.partitionBy("sig"))["gid"])
+    at_home = written(at_home.select("gid", "home", "sig", "root"))
+    met = at_home.groupBy("gid").agg(F.sort_array(F.collect_set("home")).alias("homes")).select("homes").distinct()
+    pairs = F.expr("flatten(transform(homes, (x, k) -> transform(slice(homes, k + 1, size(homes)), y -> struct(x as h, y as g))))")
+    met = met.select(F.explode(pairs).alias("p")).select("p.h", "p.g").distinct()
+    rows = at_home.select("home", "sig", "root").distinct().join(sets.select("sig", "n", F.col("wide").alias("sketch")), "sig")
+    sizes = at_home.select("home", "sig").distinct().join(sets.select("sig", F.octet_length("wide").alias("bytes")), "sig")
+    sizes = sizes.groupBy("home").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).alias("blocks"))
+    block = F.pmod(F.xxhash64(F.lit(7), "sig"), F.col("blocks")).cast("long")
+    blocks = written(rows.join(sizes, "home").withColumn("block", block).groupBy("home", "block").agg(F.collect_list(F.struct("sig", "root", "n", "sketch")).alias("rows")))
+    left, right = blocks.select(F.col("home").alias("h"), F.col("block").alias("i"), F.col("rows").alias("x")), blocks.select(F.col("home").alias("g"), F.col("block").alias("j"), F.col("rows").alias("y"))
+    met = met.join(left, "h").join(right, "g").filter("h <> g or i <= j").select("x", "y")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def columns(rows: pa.ListScalar) -> dict:
             r = rows.values
-            low = np.full((len(r), LISTED), 2**63 - 1, np.int64)  # no group below another
-            for at, groups in enumerate(r.field("low").to_pylist()):
-                low[at, : len(groups)] = groups
-            return {c: r.field(c).to_numpy(zero_copy_only=False) for c in ("sig", "root", "n")} | {"low": low, "bits": [np.frombuffer(b, np.uint64) for b in r.field("sketch").to_pylist()]}
+            return {c: r.field(c).to_numpy(zero_copy_only=False) for c in ("sig", "root", "n")} | {"bits": [np.frombuffer(b, np.uint64) for b in r.field("sketch").to_pylist()]}
 
         def by_width(x: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             widths = np.array([len(b) for b in x["bits"]])
@@ -332,39 +351,35 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
                     for ry, by in by_width(y):
                         width = min(bx.shape[1], by.shape[1])
                         u, v = narrow(bx, width), narrow(by, width)
-                        n, root, sig, low = y["n"][ry], y["root"][ry], y["sig"][ry], y["low"][ry]
+                        n, root, sig = y["n"][ry], y["root"][ry], y["sig"][ry]
                         for i, bits in zip(rx.tolist(), u):
                             own = x["n"][i]
                             ok = (x["root"][i] != root) & (100 * np.minimum(own, n) >= percent * np.maximum(own, n))
                             if not ok.any():
                                 continue
                             ok &= np.bitwise_count(v ^ bits).sum(axis=1) * (100 + percent) <= (100 - percent) * (own + n)
-                            hit = np.flatnonzero(ok)
-                            lower = x["low"][i][x["low"][i] < 2**63 - 1]
-                            if len(hit) and len(lower):
-                                hit = hit[~np.isin(low[hit], lower).any(axis=1)]
+                            hit = sig[ok]
                             if len(hit):
-                                hit = sig[hit]
                                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(hit, x["sig"][i])), pa.array(np.maximum(hit, x["sig"][i]))], names=["a", "b"])
 
     return met.mapInArrow(compare, "a long, b long").distinct()
 
 
-def linked(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links of a Jaccard similarity of percent/100 or more) per row.
+def grouped(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, row (xxhash64 of the text), n_shingles and root (a number of its component; null without words) per row.
 
-    Texts without words, null or empty, have an empty set and link with nothing: component_id is their doc_id.
-    Equal sets are one node, so copies never meet pairwise. Rows with a null doc_id link like others but
-    name no component. Other columns are not read; an empty table gives no rows.
+    A component holds what links of a Jaccard similarity of percent/100 or more reach; which pairs link is not told, as pairs
+    whose ends are connected already are not compared. Equal sets are one node, so copies never meet pairwise. Other
+    columns than doc_id and text are not read; an empty table gives no rows.
     """
-    docs = batched(docs)
+    docs = batched(docs.select("doc_id", "text"))
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     pieces = size / 6 * 2 * 1.2 * 2 * (100 - percent) / (100 + percent)  # of words of five bytes; only the size of buckets hangs on it
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(16 * pieces / BUCKET))
     met = written(_groups(_pieces(docs, width, percent, buckets), buckets))
     released(spark)
-    rows = met.filter("gid is null").select("doc_id", "n", "sig")
+    rows = met.filter("gid is null").select("doc_id", "row", "n", "sig")
     groups = written(met.filter("gid is not null").select("gid", "sig").distinct())
     involved = written(groups.select("sig").distinct())
     # One row of each set that met another: its text is read again, found by doc_id where there is one.
@@ -379,7 +394,7 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     stars = groups.join(low, "gid").filter("a <> sig").groupBy(F.col("sig").alias("b")).agg(F.min("a").alias("a")).select("a", "b")
     links = written(_verified(stars, sets, width, percent))
     roots = written(components(links))
-    failed = None
+    failed, made = None, [links]
     for step in (1, 2, 0):
         members = groups.join(roots, groups["sig"] == roots["node"], "left").select("gid", "sig", F.coalesce("root", "sig").alias("root"))
         state = members.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).filter("lo <> hi").select("gid", "c")
@@ -387,8 +402,7 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         if step:
             tried = _possible(_stars(rest, step), sets, percent)
         else:  # whatever is still in several components is compared pair by pair
-            large = rest.filter(F.col("c") > FEW).drop("c").join(sets.select("sig", "n", F.col("wide").alias("sketch")), "sig")
-            tried = _possible(_apart(rest.filter(F.col("c") <= FEW)), sets, percent).unionByName(_across(large, percent)).distinct()
+            tried = _possible(_apart(rest.filter(F.col("c") <= FEW)), sets, percent).unionByName(_across(rest.filter(F.col("c") > FEW), sets, percent)).distinct()
         tried = written(tried if failed is None else tried.join(failed, ["a", "b"], "left_anti"))
         more = written(_verified(tried, sets, width, percent))
         if more.limit(1).count():
@@ -396,9 +410,20 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
             roots = written(components(links))
         out = tried.join(more, ["a", "b"], "left_anti")
         failed = out if failed is None else failed.unionByName(out)
+        made += [tried, more]
         dropped(rest)
         released(spark)
-    set_of = rows.join(roots, rows["sig"] == roots["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "sig").alias("root"))
+    dropped(*made, groups, involved, one, sets)
+    return rows.join(roots, rows["sig"] == roots["node"], "left").select("doc_id", "row", F.col("n").alias("n_shingles"), F.coalesce("root", "sig").alias("root"))
+
+
+def linked(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest doc_id of its component, see grouped()) per row.
+
+    Texts without words, null or empty, have an empty set and link with nothing: component_id is their doc_id. Rows with
+    a null doc_id link like others but name no component.
+    """
+    set_of = grouped(docs, width, percent)
     least = set_of.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     return set_of.join(least, "root", "left").select("doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
