@@ -2,12 +2,14 @@ import os
 import random
 
 import duckdb
+import numpy as np
 import pytest
 
 from tidevec import catalogue
-from tidevec.operators import evaluate, graph, search
+from tidevec.operators import cells, evaluate, graph, insert, routing, search
 from tidevec.operators.knn import knn, knn_graph, pad, queries_of
 from tidevec.sources import vectors as files
+from tidevec.streaming import inserts
 
 D = "/root/testdata/sf0.001"
 
@@ -16,7 +18,7 @@ def ramp(spark, n=40, size=10):
     return spark.createDataFrame([(i, i // size, [i * 0.5] * 4) for i in range(n)], "id long, ts long, v array<double>")
 
 
-@pytest.mark.parametrize("name", ["knn_range", "merge_graph", "remote_edges", "beam_search_range", "insert_fill_edges", "routed_knn", "event_session_counts"])
+@pytest.mark.parametrize("name", ["knn_range", "merge_graph", "remote_edges", "beam_two_hops_range", "insert_fill_edges", "routed_knn", "event_session_counts"])
 def test_matches_sql(spark, name):
     c = duckdb.connect()
     for f in os.listdir(D):
@@ -34,10 +36,10 @@ def test_robust_prune(spark):
     far = lambda a, b: sum((x - y) ** 2 for x, y in zip(at[a], at[b]))
     want = []
     for a in at:
-        near = sorted((b for b in at if b != a), key=lambda b: (round(far(a, b), 6), b))[:8]
+        near = sorted((b for b in at if b != a), key=lambda b: (far(a, b), b))[:8]
         took = []
         for b in near:
-            if len(took) < 4 and all(far(c, b) >= round(far(a, b), 6) for c in took):
+            if len(took) < 4 and all(far(c, b) >= far(a, b) for c in took):
                 took.append(b)
         want += [(a, i, b) for i, b in enumerate((took + [b for b in near if b not in took])[:4])]
     assert sorted(map(tuple, graph.occluded(knn_graph(v), v).collect())) == sorted(want)
@@ -85,7 +87,7 @@ def test_partitioned_graph_kinds_and_wide_beam_is_exact(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, truth.collect()))
 
 
-@pytest.mark.parametrize("name, where", [("beam_converged_global", "true"), ("beam_converged_bucket", "ts = 3"), ("beam_converged_range", "ts >= 2 and ts < 6")])
+@pytest.mark.parametrize("name, where", [("beam_search_global", "true"), ("beam_search_bucket", "ts = 3"), ("beam_search_range", "ts >= 2 and ts < 6")])
 def test_converged_beam_finds_the_nearest(spark, tmp_path, name, where):
     spark.sparkContext.setCheckpointDir(str(tmp_path))
     t = catalogue.Tables(spark, D)
@@ -104,3 +106,69 @@ def test_fvecs_and_index_round_trip(spark, tmp_path):
     assert meta == {"version": 1, "dim": 4, "degree": 4, "local_degree": 2, "size": 40}
     assert sorted(map(tuple, back.select("id", "ts").collect())) == sorted(map(tuple, v.select("id", "ts").collect()))
     assert edges.count() > 0
+
+
+def test_ranks_go_by_unrounded_distances(spark):
+    v = spark.createDataFrame([(i, 0, [1e-4 * i]) for i in range(20)], "id long, ts long, v array<double>")
+    g = knn_graph(v, 2).collect()
+    assert {r.dst for r in g if r.src == 9} == {8, 10}
+    q = v.filter("id = 9").selectExpr("id as qid", "ts as qts", "v as qv")
+    assert {r.id for r in knn(q, v, 3).collect()} == {8, 9, 10}
+
+
+def test_cells_find_the_nearest_and_split_crowded_cells(spark):
+    rnd = np.random.default_rng(4)
+    x = rnd.normal(size=(1500, 12))
+    x[:500] = x[0] + rnd.normal(size=(500, 12)) * 1e-4  # one crowded cell
+    v = spark.createDataFrame([(i, i % 7, row) for i, row in enumerate(x.tolist())] + [(5000, 1, None)], "id long, ts long, v array<double>")
+    old, cells.BLOCK = cells.BLOCK, 100
+    got = cells.knn_cells(v, 5, probe=16).collect()
+    cells.BLOCK = old
+    far = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    np.fill_diagonal(far, np.inf)
+    want = {(i, int(j)) for i, row in enumerate(far) for j in np.argsort(row, kind="stable")[:5]}
+    found = {(r.src, r.dst) for r in got}
+    assert len(got) == 7500 and len(found & want) > 0.9 * len(want)
+    assert all(abs(r.dist - far[r.src, r.dst]) < 1e-12 for r in got)
+    every = {(r.src, r.dst) for r in cells.knn_cells(v, 5, probe=1500).collect()}
+    assert every == want
+    ts = {r.id: r.ts for r in v.collect()}
+    assert all(ts[r.src] != ts[r.dst] for r in cells.knn_cells(v, 3, other_bucket=True).collect())
+    assert cells.knn_cells(v.limit(0), 5).count() == 0
+
+
+def test_kmeans_routing_finds_the_nearest(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    t = catalogue.Tables(spark, D)
+    assert evaluate.recall(catalogue.QUERIES["routed_kmeans_knn"](spark, D), knn(t.q, t.v)).first().recall >= 0.85
+    rnd = np.random.default_rng(1)
+    x = np.concatenate([rnd.normal(size=(50, 3)) * 0.01 + at for at in (0, 5, 9)])
+    v = spark.createDataFrame([(i, 4, row) for i, row in enumerate(x.tolist())], "id long, ts long, v array<double>")
+    got = np.array([r.centroid for r in routing.kmeans_centroids(v, 12).collect()])
+    assert len(got) == 12 and np.abs(got[:, None] - np.array([0, 5, 9])[None, :, None]).max(axis=2).min(axis=1).max() < 0.1
+    near = routing.lloyd_step(v, routing.kmeans_centroids(v, 12))
+    assert near.count() == 150
+
+
+def test_insert_batch_adds_every_new_row_and_keeps_slots(spark):
+    v = ramp(spark, 40)
+    old, new = v.filter("id < 36"), v.filter("id >= 36")
+    before = graph.partitioned_graph(old)
+    after = insert.inserted(old, before, new).collect()
+    slots = [(r.src, r.slot) for r in after]
+    assert len(set(slots)) == len(slots) and {36, 37, 38, 39} <= {r.src for r in after}
+    assert any(r.dst >= 36 for r in after if r.src < 36)  # old rows point back
+
+
+def test_streamed_windows_and_inserts(spark, tmp_path):
+    events = spark.read.parquet(f"{D}/events.parquet")
+    events.limit(300).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
+    out = inserts.counted(stream).writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
+    out.awaitTermination()
+    want = inserts.counted(events.limit(300)).agg({"n": "sum"}).first()[0]
+    assert spark.sql("select sum(n) from counts").first()[0] == want == 300
+    taken = []
+    q = inserts.insert_stream(stream, lambda df, n: taken.append((n, df.count())), str(tmp_path / "d")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert taken == [(0, 300)]

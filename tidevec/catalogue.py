@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions.vector import cosine, inner_product, l2_sq, wang_hash
 from .operators import evaluate, graph, insert, routing, search
+from .operators.cells import knn_cells
 from .operators.knn import bucketized, in_range, knn, knn_graph, merge_topk, pad, queries_of, rerank
 from .plans.planner import knn_range_auto
 from .streaming.inserts import counted, sessions
@@ -16,11 +17,17 @@ from .streaming.inserts import counted, sessions
 QUERIES, ORACLE = {}, {}
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, dist: bool = False):
+    """Registers a query with its SQL. dist: it has distances, which both round to six places after everything is ranked."""
+
     def add(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            out = f(Tables(spark, sf_dir))
+            return out.withColumn("dist", F.round("dist", 6)) if "dist" in out.columns else out
+
+        QUERIES[f.__name__] = run
         if sql:
-            ORACLE[f.__name__] = sql
+            ORACLE[f.__name__] = f"SELECT * REPLACE (round(dist, 6) AS dist) FROM ({sql})" if dist else sql
         return f
 
     return add
@@ -41,7 +48,7 @@ class Tables:
 
 
 def dist(a: str, b: str) -> str:
-    return f"round(list_sum(list_transform(range(1, len({a}) + 1), lambda i: ({a}[i] - {b}[i]) * ({a}[i] - {b}[i]))), 6)"
+    return f"list_sum(list_transform(range(1, len({a}) + 1), lambda i: ({a}[i] - {b}[i]) * ({a}[i] - {b}[i])))"
 
 
 V = "v AS (SELECT vec_id AS id, cast(floor(vec_id / 50) AS BIGINT) AS ts, cast(embedding AS DOUBLE[]) AS v, label FROM embeddings)"
@@ -166,9 +173,9 @@ def local_index(t: Tables) -> DataFrame:
 QUERIES["group_by_bucket"], ORACLE["group_by_bucket"] = QUERIES["local_index"], ORACLE["local_index"]
 
 
-@query(f"{BASE} SELECT qid AS a, id AS b, {dist('v', 'qv')} AS dist FROM q JOIN v ON ts = qts")
+@query(f"{BASE} SELECT qid AS a, id AS b, {dist('v', 'qv')} AS dist FROM q JOIN v ON ts = qts", dist=True)
 def l2_distance(t: Tables) -> DataFrame:
-    return t.v.join(F.broadcast(t.q), F.col("ts") == F.col("qts")).select(F.col("qid").alias("a"), F.col("id").alias("b"), F.round(l2_sq("v", "qv"), 6).alias("dist"))
+    return t.v.join(F.broadcast(t.q), F.col("ts") == F.col("qts")).select(F.col("qid").alias("a"), F.col("id").alias("b"), l2_sq("v", "qv").alias("dist"))
 
 
 @query(f"WITH {V} SELECT id, {wang('id')} AS h FROM v")
@@ -184,17 +191,17 @@ for _name, _cond in (("filter_bucket_eq", "ts = 3"), ("filter_bucket_range", "ts
 # --- exact search --------------------------------------------------------------------------------------------------
 
 
-@query(f"{BASE} {ranked('true')}")
+@query(f"{BASE} {ranked('true')}", dist=True)
 def knn_global(t: Tables) -> DataFrame:
     return knn(t.q, t.v)
 
 
-@query(f"{BASE} {ranked('ts = qts')}")
+@query(f"{BASE} {ranked('ts = qts')}", dist=True)
 def knn_bucket(t: Tables) -> DataFrame:
     return knn(t.q, t.v, by_bucket=True)
 
 
-@query(f"{BASE} {ranked('ts >= 2 AND ts < 6')}")
+@query(f"{BASE} {ranked('ts >= 2 AND ts < 6')}", dist=True)
 def knn_range(t: Tables) -> DataFrame:
     return knn(t.q, in_range(t.v, 2, 6))
 
@@ -204,7 +211,7 @@ def knn_range_planned(t: Tables) -> DataFrame:
     return knn_range_auto(t.q, t.v, 2, 6)
 
 
-@query(f"{BASE} {ranked('ts <> qts')}")
+@query(f"{BASE} {ranked('ts <> qts')}", dist=True)
 def knn_cross_bucket(t: Tables) -> DataFrame:
     return knn(t.q, t.v, other_bucket=True)
 
@@ -212,34 +219,34 @@ def knn_cross_bucket(t: Tables) -> DataFrame:
 DOT = "list_sum(list_transform(range(1, len({a}) + 1), lambda i: {a}[i] * {b}[i]))"
 
 
-@query(f"{BASE} {ranked('true', score='round(' + DOT.format(a='v', b='qv') + ', 6)', desc='DESC')}".replace("dist FROM (SELECT *", "dist FROM (SELECT *"))
+@query(f"{BASE} {ranked('true', score=DOT.format(a='v', b='qv'), desc='DESC')}", dist=True)
 def knn_inner_product(t: Tables) -> DataFrame:
     return knn(t.q, t.v, score=inner_product("v", "qv"), descending=True)
 
 
-@query(f"{BASE} {ranked('true', score='round(' + DOT.format(a='v', b='qv') + ' / sqrt(' + DOT.format(a='v', b='v') + ' * ' + DOT.format(a='qv', b='qv') + '), 6)', desc='DESC')}")
+@query(f"{BASE} {ranked('true', score=DOT.format(a='v', b='qv') + ' / sqrt(' + DOT.format(a='v', b='v') + ' * ' + DOT.format(a='qv', b='qv') + ')', desc='DESC')}", dist=True)
 def knn_cosine(t: Tables) -> DataFrame:
     return knn(t.q, t.v, score=cosine("v", "qv"), descending=True)
 
 
-@query(f"{BASE} {ranked('id % 7 = qid % 7')}")
+@query(f"{BASE} {ranked('id % 7 = qid % 7')}", dist=True)
 def rerank_exact(t: Tables) -> DataFrame:
     c = t.v.join(F.broadcast(t.q), F.col("id") % 7 == F.col("qid") % 7).select("qid", "id")
     return rerank(c, t.q, t.v, 10)
 
 
-@query(f"{BASE} {ranked('ts IN (1, 2, 3, 4, 5)')}")
+@query(f"{BASE} {ranked('ts IN (1, 2, 3, 4, 5)')}", dist=True)
 def merge_topk_lists(t: Tables) -> DataFrame:
     return merge_topk(knn(t.q, in_range(t.v, 1, 4)), knn(t.q, in_range(t.v, 3, 6)), 10)
 
 
-@query(f"{BASE} {ranked('ts IN (1, 3, 5)')}")
+@query(f"{BASE} {ranked('ts IN (1, 3, 5)')}", dist=True)
 def merge_bucket_topk(t: Tables) -> DataFrame:
     one = lambda b: knn(t.q, t.v.filter(F.col("ts") == b))
     return merge_topk(merge_topk(one(1), one(3), 10), one(5), 10)
 
 
-@query(f"{BASE}, r AS ({ranked('id < 4')}) SELECT qid, s.rank, r.id, r.dist FROM (SELECT qid, unnest(range(1, 11)) AS rank FROM q) s LEFT JOIN r USING (qid, rank)")
+@query(f"{BASE}, r AS ({ranked('id < 4')}) SELECT qid, s.rank, r.id, r.dist FROM (SELECT qid, unnest(range(1, 11)) AS rank FROM q) s LEFT JOIN r USING (qid, rank)", dist=True)
 def pad_topk(t: Tables) -> DataFrame:
     return pad(knn(t.q, t.v.filter("id < 4")), t.q, 10)
 
@@ -247,12 +254,17 @@ def pad_topk(t: Tables) -> DataFrame:
 # --- graph ---------------------------------------------------------------------------------------------------------
 
 
-@query(f"{BASE} {graph_of('true')}")
+@query(f"{BASE} {graph_of('true')}", dist=True)
 def knn_graph_exact(t: Tables) -> DataFrame:
     return knn_graph(t.v, 8, by_bucket=False)
 
 
-@query(f"{BASE} {graph_of('a.ts = b.ts')}")
+@query()
+def knn_graph_cells(t: Tables) -> DataFrame:
+    return knn_cells(t.v, 10)
+
+
+@query(f"{BASE} {graph_of('a.ts = b.ts')}", dist=True)
 def knn_graph_bucket(t: Tables) -> DataFrame:
     return knn_graph(t.v)
 
@@ -349,24 +361,24 @@ def visited_dedup(t: Tables) -> DataFrame:
     return pairs.select("qid", "id").distinct().join(seen, ["qid", "id"], "left_anti")
 
 
-@query(f"{GRAPH}, {SEEDS}, {hops(1, 'mer', 'true')} SELECT * FROM s1")
+@query(f"{GRAPH}, {SEEDS}, {hops(1, 'mer', 'true')} SELECT * FROM s1", dist=True)
 def beam_hop(t: Tables) -> DataFrame:
     return search.hop(search.started(t.q, search.sampled_seeds(t.v), t.v), merge_graph(t), t.v, t.q)
 
 
-@query(f"{EDGES}, {SEEDS}, {hops(2, 'e', 'true')} {best(2)}")
-def beam_search_global(t: Tables) -> DataFrame:
+@query(f"{EDGES}, {SEEDS}, {hops(2, 'e', 'true')} {best(2)}", dist=True)
+def beam_two_hops_global(t: Tables) -> DataFrame:
     return search.beam(t.q, search.sampled_seeds(t.v), graph.partitioned_graph(t.v), t.v, hops=2)
 
 
-@query(f"{GRAPH}, seeds AS (SELECT id FROM v WHERE ts = 3 ORDER BY {wang('(id + 17)')}, id LIMIT 8), {hops(2, 'mer', 'v.ts = 3')} {best(2)}")
-def beam_search_bucket(t: Tables) -> DataFrame:
+@query(f"{GRAPH}, seeds AS (SELECT id FROM v WHERE ts = 3 ORDER BY {wang('(id + 17)')}, id LIMIT 8), {hops(2, 'mer', 'v.ts = 3')} {best(2)}", dist=True)
+def beam_two_hops_bucket(t: Tables) -> DataFrame:
     inside = t.v.filter("ts = 3")
     return search.beam(t.q, search.sampled_seeds(inside), merge_graph(t), inside, hops=2)
 
 
-@query(f"{EDGES}, seeds AS (SELECT id FROM v WHERE ts >= 2 AND ts < 6 ORDER BY {wang('(id + 17)')}, id LIMIT 8), {hops(2, 'e', 'v.ts >= 2 AND v.ts < 6')} {best(2)}")
-def beam_search_range(t: Tables) -> DataFrame:
+@query(f"{EDGES}, seeds AS (SELECT id FROM v WHERE ts >= 2 AND ts < 6 ORDER BY {wang('(id + 17)')}, id LIMIT 8), {hops(2, 'e', 'v.ts >= 2 AND v.ts < 6')} {best(2)}", dist=True)
+def beam_two_hops_range(t: Tables) -> DataFrame:
     inside = in_range(t.v, 2, 6)
     return search.beam(t.q, search.sampled_seeds(inside), graph.partitioned_graph(t.v), inside, hops=2)
 
@@ -383,22 +395,22 @@ def _converged(t: Tables, edges: DataFrame, inside: DataFrame) -> DataFrame:
 
 
 def _wide(t: Tables) -> DataFrame:
-    return graph.partitioned_graph(t.v, 2 * DEGREE, DEGREE, DEGREE // 2, 2 * DEGREE)
+    return graph.partitioned_graph(t.v, 2 * DEGREE, DEGREE, DEGREE // 2, 2 * DEGREE, exact=False)
 
 
 @query()
-def beam_converged_global(t: Tables) -> DataFrame:
+def beam_search_global(t: Tables) -> DataFrame:
     return _converged(t, _wide(t), t.v)
 
 
 @query()
-def beam_converged_bucket(t: Tables) -> DataFrame:
+def beam_search_bucket(t: Tables) -> DataFrame:
     inside = t.v.filter("ts = 3")
     return _converged(t, graph.merged(graph.pruned(knn_graph(inside, 2 * DEGREE), DEGREE), DEGREE), inside)
 
 
 @query()
-def beam_converged_range(t: Tables) -> DataFrame:
+def beam_search_range(t: Tables) -> DataFrame:
     return _converged(t, _wide(t), in_range(t.v, 2, 6))
 
 
@@ -410,17 +422,17 @@ def insert_assign_ids(t: Tables) -> DataFrame:
     return insert.assigned(t.old, t.new.withColumn("n", F.col("id"))).select("id", "ts")
 
 
-@query(f"{BASE}, {NEW}, {GLOBAL} SELECT qid AS new_id, rank, id, dist FROM gc")
+@query(f"{BASE}, {NEW}, {GLOBAL} SELECT qid AS new_id, rank, id, dist FROM gc", dist=True)
 def insert_candidates(t: Tables) -> DataFrame:
     return insert.candidates(t.old, t.new)
 
 
-@query(f"{BASE}, {NEW}, {LOCAL} SELECT qid AS new_id, rank, id, dist FROM lc")
+@query(f"{BASE}, {NEW}, {LOCAL} SELECT qid AS new_id, rank, id, dist FROM lc", dist=True)
 def insert_local_candidates(t: Tables) -> DataFrame:
     return insert.local_candidates(t.old, t.new)
 
 
-@query(f"{BASE}, n AS (SELECT * FROM v WHERE id % 25 = 24), new AS (SELECT id AS qid, v AS qv FROM n) {ranked('id <> qid', 4, q='new', v='n')}")
+@query(f"{BASE}, n AS (SELECT * FROM v WHERE id % 25 = 24), new AS (SELECT id AS qid, v AS qv FROM n) {ranked('id <> qid', 4, q='new', v='n')}", dist=True)
 def insert_batch_knn(t: Tables) -> DataFrame:
     return knn_graph(t.new, 4, by_bucket=False).select(F.col("src").alias("qid"), "rank", F.col("dst").alias("id"), "dist")
 
@@ -483,14 +495,36 @@ def probe_buckets(t: Tables) -> DataFrame:
 ROUTED = f"SELECT qid, rank, id, dist FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rank FROM (SELECT q.qid, v.id, {dist('v.v', 'q.qv')} AS dist FROM probed JOIN q USING (qid) JOIN v USING (ts))) WHERE rank <= 10"
 
 
-@query(f"{VOTES} {ROUTED}")
+@query(f"{VOTES} {ROUTED}", dist=True)
 def routed_knn(t: Tables) -> DataFrame:
     return routing.routed_knn(t.q, t.v, _centroids(t))
 
 
 @query()
 def bucket_centroids_kmeans(t: Tables) -> DataFrame:
-    return routing.kmeans_centroids(t.v, 4, 2)
+    return routing.kmeans_centroids(t.v)
+
+
+@query()
+def routed_kmeans_knn(t: Tables) -> DataFrame:
+    """Routing by k-means centroids; four in five buckets are searched, as vectors near each other lie in many of them."""
+    return routing.routed_knn(t.q, t.v, routing.kmeans_centroids(t.v).checkpoint(), probe=_most_buckets(t))
+
+
+def _most_buckets(t: Tables) -> int:
+    if not t.spark.sparkContext.getCheckpointDir():
+        t.spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidevec-"))
+    return max(1, -(-4 * t.v.select("ts").distinct().count() // 5))
+
+
+@query()
+def virtual_index_graph(t: Tables) -> DataFrame:
+    return routing.virtual_index(t.v, routing.kmeans_centroids(t.v))[0]
+
+
+@query()
+def virtual_index_entries(t: Tables) -> DataFrame:
+    return routing.virtual_index(t.v, routing.kmeans_centroids(t.v))[1]
 
 
 # --- evaluation ----------------------------------------------------------------------------------------------------

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .cells import knn_cells
 from .knn import knn_graph, top
 
 
@@ -75,14 +76,21 @@ def remote_edges(candidates: DataFrame, vectors: DataFrame, remote: int = 3, loc
     return c.select("src", (F.col("slot") + local).alias("slot"), "dst", F.when(F.col("near"), "near").otherwise("far").alias("class"))
 
 
-def partitioned_graph(vectors: DataFrame, k: int = 8, degree: int = 4, local: int = 2, reach: int = 32) -> DataFrame:
-    """src, slot, dst, kind: local slots from the bucket's own graph, remote slots from all; a bucket's edges fill remote slots that stay empty."""
+def partitioned_graph(vectors: DataFrame, k: int = 8, degree: int = 4, local: int = 2, reach: int = 32, exact: bool = True) -> DataFrame:
+    """src, slot, dst, kind: local slots from the bucket's own graph, remote slots from all; a bucket's edges fill remote slots that stay empty.
+
+    exact: candidates for remote slots come from all pairs, for small tables; else from coarse cells (knn_cells()).
+    """
     own = merged(pruned(knn_graph(vectors, k), degree), degree)
     a = vectors.select(F.col("id").alias("src"), F.col("ts").alias("sts"), F.col("v").alias("sv"))
     from ..functions.vector import l2_sq
 
-    pairs = a.join(vectors, a["sts"] != vectors["ts"]).select("src", F.col("id").alias("dst"), F.round(l2_sq("sv", "v"), 6).alias("dist"))
-    far = remote_edges(top(pairs, reach, "src", ("dist", "dst")), vectors, degree - local, local).select("src", "slot", "dst", F.lit("remote").alias("kind"))
+    if exact:
+        pairs = a.join(vectors, a["sts"] != vectors["ts"]).select("src", F.col("id").alias("dst"), l2_sq("sv", "v").alias("dist"))
+        ranked = top(pairs, reach, "src", ("dist", "dst"))
+    else:
+        ranked = knn_cells(vectors, reach, other_bucket=True)
+    far = remote_edges(ranked, vectors, degree - local, local).select("src", "slot", "dst", F.lit("remote").alias("kind"))
     mine = own.withColumn("kind", F.lit("local"))
     filler = mine.join(far.select("src", "slot"), ["src", "slot"], "left_anti")
     return far.unionByName(filler.select("src", "slot", "dst", "kind"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.vector import wang_hash
-from .knn import knn, top
+from .knn import knn, small, top
 
 
 def assigned(existing: DataFrame, batch: DataFrame) -> DataFrame:
@@ -36,7 +36,7 @@ def filled(existing: DataFrame, batch: DataFrame, local: int = 2, remote: int =
     """src, slot, dst, kind: the new rows' edges; remote slots take other buckets first, then any candidate that is left."""
     own = local_candidates(existing, batch, k).filter(F.col("rank") <= local).select(F.col("new_id").alias("src"), (F.col("rank") - 1).alias("slot"), F.col("id").alias("dst"), F.lit("local").alias("kind"))
     c = candidates(existing, batch, k).join(own.select(F.col("src").alias("new_id"), F.col("dst").alias("id")), ["new_id", "id"], "left_anti")
-    c = c.join(existing.select("id", "ts"), "id").join(F.broadcast(batch.select(F.col("id").alias("new_id"), F.col("ts").alias("nts"))), "new_id")
+    c = c.join(existing.select("id", "ts"), "id").join(small(batch.select(F.col("id").alias("new_id"), F.col("ts").alias("nts"))), "new_id")
     w = Window.partitionBy("new_id").orderBy(F.col("ts") == F.col("nts"), "rank")
     far = c.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= remote)
     return own.unionByName(far.select(F.col("new_id").alias("src"), (F.col("n") - 1 + local).cast("long").alias("slot"), F.col("id").alias("dst"), F.lit("remote").alias("kind")))

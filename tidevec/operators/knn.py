@@ -8,8 +8,8 @@ from pyspark.sql.window import Window
 
 from ..functions.vector import l2_sq
 
-#: Query rows that may be broadcast; beyond, the queries are joined bucket by bucket or shuffled.
-BROADCAST_ROWS = 100_000
+#: Numbers (ids and parts of vectors) that a side of a join may hold to be broadcast: 64 MB. Beyond, it is joined bucket by bucket or the search refuses.
+BROADCAST_NUMBERS = 8 << 20
 
 
 def bucketized(embeddings: DataFrame, size: int = 50, last: int | None = None) -> DataFrame:
@@ -28,6 +28,19 @@ def queries_of(vectors: DataFrame, every: int = 25) -> DataFrame:
     return vectors.filter(F.col("id") % every == 0).select(F.col("id").alias("qid"), F.col("ts").alias("qts"), F.col("v").alias("qv"))
 
 
+def fits(rows: DataFrame, vector: str | None = None) -> bool:
+    """Whether rows, of a few numbers each and an array column `vector`, are small enough to broadcast; at most so many rows are counted."""
+    if vector is None:
+        return rows.limit(BROADCAST_NUMBERS // 4 + 1).count() <= BROADCAST_NUMBERS // 4
+    n = rows.select(F.coalesce(F.size(vector), F.lit(0)).alias("n")).limit(BROADCAST_NUMBERS // 4 + 1).agg(F.coalesce(F.sum(F.col("n") + 4), F.lit(0))).first()[0]
+    return n <= BROADCAST_NUMBERS
+
+
+def small(rows: DataFrame, vector: str | None = None) -> DataFrame:
+    """rows, marked for broadcast if they fit, else as they are for a shuffled join."""
+    return F.broadcast(rows) if fits(rows, vector) else rows
+
+
 def top(pairs: DataFrame, k: int, key: str = "qid", order: tuple[str | Column, ...] = ("dist", "id")) -> DataFrame:
     """The first k of each key; Spark keeps k per key and task before the shuffle."""
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("long")).filter(F.col("rank") <= k)
@@ -36,21 +49,22 @@ def top(pairs: DataFrame, k: int, key: str = "qid", order: tuple[str | Column, .
 def knn(queries: DataFrame, vectors: DataFrame, k: int = 10, score: Column | None = None, descending: bool = False, by_bucket: bool = False, other_bucket: bool = False) -> DataFrame:
     """qid, rank, id, dist of the k vectors nearest to each query, ties by id.
 
-    queries is a bounded set against all vectors: it is broadcast after a check of its rows. by_bucket: only vectors of the query's
-    own bucket (an equi-join); other_bucket: only those of other buckets.
+    queries is a bounded set against all vectors: it is broadcast after a check of its size, and a larger one is an error. by_bucket: only
+    vectors of the query's own bucket (an equi-join, of any size); other_bucket: only those of other buckets. Ranks go by the distance
+    as it is, unrounded; vectors without a distance (nulls, other dimensions) come last.
     """
-    small = queries.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    q = F.broadcast(queries) if small else queries
+    ok = fits(queries, "qv")
+    q = F.broadcast(queries) if ok else queries
     if by_bucket:
         pairs = vectors.join(q, vectors["ts"] == q["qts"])
+    elif not ok:
+        raise ValueError("too many queries for an exact search of all buckets; use knn_cells, routed_knn or beam")
     elif other_bucket:
         pairs = vectors.join(q, vectors["ts"] != q["qts"])
-    elif small:
-        pairs = vectors.crossJoin(q)
     else:
-        raise ValueError("too many queries for an exact global search; use routed_knn or beam_search")
-    dist = F.round(score if score is not None else l2_sq("v", "qv"), 6)
-    ranked = top(pairs.select("qid", "id", dist.alias("dist")), k, order=(F.desc("dist") if descending else "dist", "id"))
+        pairs = vectors.crossJoin(q)
+    dist = score if score is not None else l2_sq("v", "qv")
+    ranked = top(pairs.select("qid", "id", dist.alias("dist")), k, order=(F.desc("dist") if descending else F.asc_nulls_last("dist"), "id"))
     return ranked.select("qid", "rank", "id", "dist")
 
 
@@ -58,14 +72,14 @@ def knn_graph(vectors: DataFrame, k: int = 8, by_bucket: bool = True) -> DataFra
     """src, rank, dst, dist: each vector's k nearest others, in its bucket or in all."""
     a = vectors.select(F.col("id").alias("src"), F.col("ts").alias("sts"), F.col("v").alias("sv"))
     on = (a["src"] != vectors["id"]) & (a["sts"] == vectors["ts"]) if by_bucket else (a["src"] != vectors["id"])
-    pairs = a.join(vectors, on).select("src", F.col("id").alias("dst"), F.round(l2_sq("sv", "v"), 6).alias("dist"))
+    pairs = a.join(vectors, on).select("src", F.col("id").alias("dst"), l2_sq("sv", "v").alias("dist"))
     return top(pairs, k, "src", ("dist", "dst")).select("src", "rank", "dst", "dist")
 
 
 def rerank(candidates: DataFrame, queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """Exact distances of (qid, id) candidates, ranked; ids that vectors lacks are dropped."""
-    pairs = candidates.distinct().join(vectors.select("id", "v"), "id").join(F.broadcast(queries), "qid")
-    return top(pairs.select("qid", "id", F.round(l2_sq("v", "qv"), 6).alias("dist")), k).select("qid", "rank", "id", "dist")
+    pairs = candidates.distinct().join(vectors.select("id", "v"), "id").join(small(queries, "qv"), "qid")
+    return top(pairs.select("qid", "id", l2_sq("v", "qv").alias("dist")), k).select("qid", "rank", "id", "dist")
 
 
 def merge_topk(a: DataFrame, b: DataFrame, k: int) -> DataFrame:

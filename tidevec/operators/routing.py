@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.vector import l2_sq
-from .knn import knn, top
+from .knn import fits, knn, small, top
 
 
 def mean_rows(vectors: DataFrame) -> DataFrame:
@@ -23,24 +27,45 @@ def as_vectors(rows: DataFrame) -> DataFrame:
 
 def lloyd_step(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
     """id, cid: each vector's nearest centroid within its bucket; the means of these are the next centroids."""
-    pairs = vectors.join(centroids, "ts").select("id", "cid", F.round(l2_sq("v", "centroid"), 6).alias("dist"))
+    pairs = vectors.join(centroids, "ts").select("id", "cid", l2_sq("v", "centroid").alias("dist"))
     return top(pairs, 1, "id", ("dist", "cid")).select("id", "cid")
 
 
-def kmeans_centroids(vectors: DataFrame, k: int, steps: int = 5) -> DataFrame:
-    """cid, ts, centroid by k-means in all buckets at once; the first k rows of each bucket begin. Steps are checkpointed reliably."""
-    first = vectors.withColumn("n", F.row_number().over(Window.partitionBy("ts").orderBy("id")) - 1).filter(F.col("n") < k)
-    centroids = first.select((F.col("ts") * k + F.col("n")).alias("cid"), "ts", F.col("v").alias("centroid"))
-    for _ in range(steps):
-        near = lloyd_step(vectors, centroids)
-        means = vectors.join(near, "id").select("cid", "ts", F.posexplode("v").alias("dim", "x")).groupBy("cid", "ts", "dim").agg(F.round(F.avg("x"), 9).alias("value"))
-        centroids = as_vectors(means)
-    return centroids
+def kmeans_centroids(vectors: DataFrame, k: int | None = None, steps: int = 30, sample: int = 20_000, most: int = 2048, seed: int = 3) -> DataFrame:
+    """cid, ts, centroid: k centroids of each bucket (16 times the root of its rows if k is not given, at most `most` and one a row) by Lloyd steps, until nothing moves.
+
+    They are fitted on about `sample` rows of a bucket at most, chosen by a hash of the id, so no task holds a whole bucket; which centroid is a
+    vector's, lloyd_step() tells for every row. Null vectors are left out; a centroid that loses all rows stays where it is. No rows: no centroids.
+    """
+    rows = vectors.filter("v is not null").select("id", "ts", "v")
+    sizes = rows.groupBy("ts").agg(F.count("*").alias("n"))
+    chance = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 30)) / (1 << 30)
+    some = rows.join(sizes, "ts").filter(chance * F.col("n") < sample)
+
+    def fit(key, frame):
+        frame = frame.sort_values("id")
+        x, n = np.stack(frame["v"].to_numpy()).astype(float), int(frame["n"].iloc[0])
+        want = min(k or math.ceil(16 * math.sqrt(n)), most, len(x))
+        c = x[np.random.default_rng(seed).permutation(len(x))[:want]].copy()
+        own = None
+        for _ in range(steps):
+            far = (c * c).sum(axis=1)
+            last, own = own, np.concatenate([(far - 2 * (x[i : i + 2048] @ c.T)).argmin(axis=1) for i in range(0, len(x), 2048)])
+            if last is not None and (last == own).all():
+                break
+            order = np.argsort(own, kind="stable")
+            used, first = np.unique(own[order], return_index=True)
+            c[used] = np.add.reduceat(x[order], first, axis=0) / np.diff(np.append(first, len(x)))[:, None]
+        return pd.DataFrame({"cid": int(key[0]) * most + np.arange(want), "ts": int(key[0]), "centroid": list(c)})
+
+    return some.groupBy("ts").applyInPandas(fit, "cid long, ts long, centroid array<double>")
 
 
 def votes(queries: DataFrame, centroids: DataFrame, probe: int = 3) -> DataFrame:
     """qid, ts, votes among the 10 * probe nearest centroids."""
-    pairs = centroids.crossJoin(F.broadcast(queries)).select("qid", "ts", "cid", F.round(l2_sq("centroid", "qv"), 6).alias("dist"))
+    if not fits(queries, "qv"):
+        raise ValueError("too many queries to compare with all centroids: split them")
+    pairs = centroids.crossJoin(F.broadcast(queries)).select("qid", "ts", "cid", l2_sq("centroid", "qv").alias("dist"))
     return top(pairs, 10 * probe, "qid", ("dist", "cid")).groupBy("qid", "ts").agg(F.count("*").alias("votes"))
 
 
@@ -50,8 +75,8 @@ def probed(votes_: DataFrame, probe: int = 3) -> DataFrame:
 
 def routed_knn(queries: DataFrame, vectors: DataFrame, centroids: DataFrame, k: int = 10, probe: int = 3) -> DataFrame:
     """Exact search in each query's `probe` best buckets, an equi-join on the bucket."""
-    where = probed(votes(queries, centroids, probe), probe).join(F.broadcast(queries.select("qid", "qv")), "qid").select("qid", "qv", "ts")
-    pairs = vectors.join(F.broadcast(where), "ts").select("qid", "id", F.round(l2_sq("v", "qv"), 6).alias("dist"))
+    where = probed(votes(queries, centroids, probe), probe).join(small(queries.select("qid", "qv"), "qv"), "qid").select("qid", "qv", "ts")
+    pairs = vectors.join(small(where, "qv"), "ts").select("qid", "id", l2_sq("v", "qv").alias("dist"))
     return top(pairs, k).select("qid", "rank", "id", "dist")
 
 
@@ -59,3 +84,12 @@ def entry_points(vectors: DataFrame, centroids: DataFrame, n: int = 5) -> DataFr
     """cid, rank, id: the rows of its bucket nearest to each centroid."""
     q = centroids.select(F.col("cid").alias("qid"), F.col("ts").alias("qts"), F.col("centroid").alias("qv"))
     return knn(q, vectors, n, by_bucket=True).select(F.col("qid").alias("cid"), "rank", "id")
+
+
+def virtual_index(vectors: DataFrame, centroids: DataFrame, degree: int = 32, n: int = 5) -> tuple[DataFrame, DataFrame]:
+    """A graph over the centroids (src, slot, dst), from coarse cells, and each centroid's entry points (cid, rank, id) into its bucket."""
+    from .cells import knn_cells
+    from .graph import merged, pruned
+
+    nodes = centroids.select(F.col("cid").alias("id"), "ts", F.col("centroid").alias("v"))
+    return merged(pruned(knn_cells(nodes, 2 * degree), degree), degree), entry_points(vectors, centroids, n)
