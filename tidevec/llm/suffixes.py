@@ -20,7 +20,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import batched, read, released, written
+from .graph import small_enough
+from .store import batched, dropped, read, released, written
 from .texts import flat, mixed, signed
 
 GRAM = 100
@@ -277,11 +278,13 @@ def repeats(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFrame:
     """k1, k2 and spans: for each row key with any, the byte ranges [s, e) that windows found more than once cover."""
     docs = batched(docs)
     anchors = written(_anchors(docs, length))
-    counts = anchors.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1")
+    # Written, so that the join below reads two plain tables and a passage that very many texts hold can be split among tasks.
+    counts = written(anchors.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1"))
     spread = F.when(F.col("c") > hot, F.pmod(F.xxhash64("k1", "k2", "at"), F.ceil(F.col("c") / hot)).cast("int")).otherwise(F.lit(-1))
-    repeated = anchors.join(counts, "h").select("k1", "k2", "at", spread.alias("salt"))
+    repeated = anchors.join(small_enough(counts), "h").select("k1", "k2", "at", spread.alias("salt"))
     found = written(_buckets(_suffixes(docs, repeated, length), length))
-    del counts, repeated
+    dropped(anchors, counts)
+    del repeated
     released(docs.sparkSession)
     # Across the boundaries of buckets that share leading bytes: equal windows have equal fingerprints.
     open_ = found.filter("fp is not null")
