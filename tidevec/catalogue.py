@@ -11,7 +11,7 @@ from .functions.vector import cosine, inner_product, l2_sq, wang_hash
 from .operators import evaluate, graph, insert, routing, search
 from .operators.cells import knn_cells
 from .operators.knn import bucketized, in_range, knn, knn_graph, merge_topk, pad, queries_of, rerank
-from .plans.planner import knn_range_auto
+from .plans.planner import knn_range_auto, partitioned_graph_auto
 from .streaming.inserts import counted, sessions
 
 QUERIES, ORACLE = {}, {}
@@ -319,6 +319,11 @@ def build_partitioned_graph(t: Tables) -> DataFrame:
     return graph.partitioned_graph(t.v)
 
 
+@query(ORACLE["build_partitioned_graph"])
+def build_graph_planned(t: Tables) -> DataFrame:
+    return partitioned_graph_auto(t.v)
+
+
 @query(f"{GRAPH}, d AS (SELECT v.id, count(mer.src) AS n FROM v LEFT JOIN mer ON mer.src = v.id GROUP BY ALL) SELECT round(avg(n), 6) AS avg_degree, min(n) AS min_degree, max(n) AS max_degree, count(*) FILTER (n = 0) AS no_edges FROM d")
 def degree_stats(t: Tables) -> DataFrame:
     return evaluate.degree_stats(merge_graph(t), t.v)

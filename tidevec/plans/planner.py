@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import partitioned_graph
 from ..operators.knn import in_range, knn
 
 
@@ -24,3 +25,8 @@ def knn_range_auto(queries: DataFrame, vectors: DataFrame, start: int, end: int,
     inside = (F.col("ts") >= start) & (F.col("ts") < end)
     total, selected, buckets = vectors.agg(F.count("*"), F.count(F.when(inside, 1)), F.countDistinct(F.when(inside, F.col("ts")))).first()
     return knn(queries, vectors if strategy(selected, total, buckets) == "global" else in_range(vectors, start, end), k)
+
+
+def partitioned_graph_auto(vectors: DataFrame, **parameters) -> DataFrame:
+    """partitioned_graph() with remote candidates from all pairs of a small table, from coarse cells beyond."""
+    return partitioned_graph(vectors, exact=build_strategy(vectors.count(), 1) == "exact", **parameters)

@@ -32,7 +32,7 @@ def fvecs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def raw_floats(spark: SparkSession, path: str, dim: int) -> DataFrame:
-    """n, v of a headerless row-major float32 file; Spark splits it into records of dim floats."""
+    """n, v of a headerless row-major float32 file of at most 2 GB, which one task reads."""
     rows = spark.read.format("binaryFile").load(path).select("content")
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
