@@ -189,8 +189,8 @@ def test_mixing(docs, empty):
     plan = mixing.mix(rows, mixing.source_targets(rows)[1])
     got = mixing.taken(rows, plan).collect()
     assert len(got) == docs.count() and all(0 <= r.copies <= 2 for r in got)
-    again = mixing.taken(rows, plan).select("doc_id", "copies").collect()
-    assert sorted(map(repr, again)) == sorted(repr(r) for r in mixing.taken(rows, mixing.mix(rows, mixing.source_targets(rows)[1])).select("doc_id", "copies").collect())
+    again = mixing.taken(rows, plan).select("row.doc_id", "copies").collect()
+    assert sorted(map(repr, again)) == sorted(repr(r) for r in mixing.taken(rows, mixing.mix(rows, mixing.source_targets(rows)[1])).select("row.doc_id", "copies").collect())
     assert mixing.mixed_documents(empty).count() == 0
 
 
