@@ -45,6 +45,41 @@ def test_robust_prune(spark):
     assert sorted(map(tuple, graph.occluded(knn_graph(v), v).collect())) == sorted(want)
 
 
+def mixed32(x):
+    m = 0xFFFFFFFF
+    x = ((x ^ 61 ^ (x >> 16)) * 9) & m
+    x ^= x >> 4
+    x = (x * 668265261) & m
+    return x ^ (x >> 15)
+
+
+@pytest.mark.parametrize("degree,local,cap", [(4, 2, 32), (9, 4, 32), (7, 6, 32), (9, 4, 3)])
+def test_reverse_of_remote_edges(spark, degree, local, cap):
+    rnd = random.Random(degree * 100 + cap)
+    far = [(a, s, b) for a in range(60) if a % 7 for s, b in enumerate(rnd.sample([x for x in range(20) if x != a], rnd.randint(0, degree - local)), local)]
+    own = [(a, s, b) for a in range(60) for s, b in enumerate(rnd.sample(range(60), degree))]
+    rows = {a: [None] * (degree - local) for a in range(60)}
+    for a, s, b in far:
+        rows[a][s - local] = b
+    keep = (degree - local) // 2
+    want, full = [], 0
+    for a, row in rows.items():
+        row, h = list(row), mixed32(a)
+        for _, c in sorted((s, src) for src, s, b in far if b == a)[:cap]:
+            if c in row or (a, c) in {(x, b) for x, s, b in own if s < local}:
+                continue
+            open_ = [i for i in range(keep, degree - local) if row[i] is None]
+            if not open_:
+                h = mixed32(h)
+                full += 1
+            row[open_[0] if open_ else keep + h % (degree - local - keep)] = c
+        want += [(a, i + local, b) for i, b in enumerate(row) if b is not None]
+    make = lambda e: spark.createDataFrame(e, "src long, slot long, dst long")
+    assert full and sorted(want) != sorted(far)
+    assert sorted(map(tuple, graph.with_reverse(make(far + far[:9]), make(own), degree, local, cap).collect())) == sorted(want)
+    assert graph.with_reverse(make([]), make(own), degree, local, cap).count() == 0
+
+
 def test_ramp_neighbours_and_no_self_loops(spark):
     g = knn_graph(ramp(spark), 2).collect()
     assert all(r.src != r.dst for r in g)

@@ -314,6 +314,11 @@ def remote_edges(t: Tables) -> DataFrame:
     return graph.remote_edges(c, t.v)
 
 
+@query()
+def remote_reverse_inject(t: Tables) -> DataFrame:
+    return graph.with_reverse(remote_edges(t), merge_graph(t), degree=5)
+
+
 @query(f"{EDGES} SELECT * FROM e")
 def build_partitioned_graph(t: Tables) -> DataFrame:
     return graph.partitioned_graph(t.v)

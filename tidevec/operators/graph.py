@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.vector import l2_sq, wang_hash
 from .cells import knn_cells
 from .knn import knn_graph, top
 
@@ -76,6 +77,38 @@ def remote_edges(candidates: DataFrame, vectors: DataFrame, remote: int = 3, loc
     return c.select("src", (F.col("slot") + local).alias("slot"), "dst", F.when(F.col("near"), "near").otherwise("far").alias("class"))
 
 
+def with_reverse(remote: DataFrame, own: DataFrame, degree: int = 4, local: int = 2, cap: int = 32) -> DataFrame:
+    """src, slot, dst: remote edges (slots local to degree - 1) after nodes took edges back to those that point at them.
+
+    Half of a node's remote slots, rounded down, stay as they are. Those who point at it come by (slot, src), `cap` at most; one that is a
+    neighbour already, remote or in the own edges' slots below local, is passed over. It gets the first of the other slots that is free, or else
+    the one that the next hash in a chain of its own, begun at the node's id, names. Nodes without remote edges take part; no edges give no rows. Repeated
+    rows count once, and of two edges in one slot the larger dst stays.
+    """
+    n = degree - local
+    strong, weak = n // 2, n - n // 2
+    free = F.lit(-1).cast("long")
+    held = remote.groupBy("src").agg(*[F.max(F.when(F.col("slot") == i, F.col("dst"))).alias(f"s{i}") for i in range(local, degree)])
+    near = own.filter(F.col("slot") < local).groupBy("src").agg(F.collect_set("dst").alias("near"))
+    w = Window.partitionBy("dst").orderBy("slot", "src")
+    asked = remote.select("src", "slot", "dst").distinct().withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= cap)
+    asked = asked.groupBy(F.col("dst").alias("src")).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "src"))), lambda x: x["src"]).alias("back"))
+    rows = held.join(asked, "src", "full").join(near, "src", "left")
+    slots = [F.coalesce(f"s{i}", free) for i in range(local, degree)]
+    none = F.array().cast("array<bigint>")
+    rows = rows.select("src", F.array(*slots).alias("r"), F.coalesce("near", none).alias("near"), F.coalesce("back", none).alias("back"))
+
+    def step(a, c):
+        found = F.array_position(F.slice(a["r"], strong + 1, weak), free)
+        chain = F.when(found > 0, a["h"]).otherwise(wang_hash(a["h"]))
+        at = strong + F.when(found > 0, found - 1).otherwise(chain % weak)
+        took = F.struct(F.transform(a["r"], lambda x, i: F.when(i == at, c).otherwise(x)).alias("r"), chain.alias("h"))
+        return F.when(F.array_contains(a["r"], c) | F.array_contains("near", c), a).otherwise(took)
+
+    done = F.aggregate("back", F.struct("r", wang_hash(F.col("src")).alias("h")), step, lambda a: a["r"])
+    return rows.select("src", F.posexplode(done).alias("i", "dst")).filter(F.col("dst") != free).select("src", (F.col("i") + local).cast("long").alias("slot"), "dst")
+
+
 def partitioned_graph(vectors: DataFrame, k: int = 8, degree: int = 4, local: int = 2, reach: int = 32, exact: bool = True) -> DataFrame:
     """src, slot, dst, kind: local slots from the bucket's own graph, remote slots from all; a bucket's edges fill remote slots that stay empty.
 
@@ -83,8 +116,6 @@ def partitioned_graph(vectors: DataFrame, k: int = 8, degree: int = 4, local: in
     """
     own = merged(pruned(knn_graph(vectors, k), degree), degree)
     a = vectors.select(F.col("id").alias("src"), F.col("ts").alias("sts"), F.col("v").alias("sv"))
-    from ..functions.vector import l2_sq
-
     if exact:
         pairs = a.join(vectors, a["sts"] != vectors["ts"]).select("src", F.col("id").alias("dst"), l2_sq("sv", "v").alias("dist"))
         ranked = top(pairs, reach, "src", ("dist", "dst"))
