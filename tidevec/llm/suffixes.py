@@ -116,7 +116,10 @@ SUFFIX = "k1 long, k2 long, a int, before binary, suffix binary, salt int, copie
 
 
 def _suffixes(docs: DataFrame, repeated: DataFrame, length: int) -> DataFrame:
-    """The suffixes at repeated anchors. before and suffix reach as far as the anchor's windows; one that is found again in its own text, with all its windows, is kept once with copies = 2."""
+    """The suffixes at repeated anchors. before and suffix reach as far as the anchor's windows; one that is found again in its own text, with all its windows, is kept once with copies = 2.
+
+    The bytes of the others of these need no neighbour: they are merged within the text and given as rows without before and suffix, from a to salt.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,19 +128,22 @@ def _suffixes(docs: DataFrame, repeated: DataFrame, length: int) -> DataFrame:
             for k1, k2, data, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
                 data = data.as_py()
                 seen: dict[tuple, int] = {}
+                known: list[tuple[int, int]] = []
                 for x in at:
                     a, lo, hi = _place(x["at"])
                     mark = (a - lo, hashlib.blake2b(data[lo : hi + length], digest_size=16).digest())
                     if mark in seen:
                         # both are repeated: this one needs no neighbour, the other is told
                         out[6][seen[mark]] = 2
-                        for to, v in zip(out, (k1, k2, a, data[lo:a], None, a - hi, 2)):
-                            to.append(v)
+                        known.append((lo, hi + length))
                         continue
                     seen[mark] = len(out[0])
                     for to, v in zip(out, (k1, k2, a, data[lo:a], data[a : hi + length], x["salt"], 1)):
                         to.append(v)
                     size += hi + length - lo
+                for s, e in _merged(known):
+                    for to, v in zip(out, (k1, k2, s, None, None, e, 2)):
+                        to.append(v)
                 if size > 8 << 20:
                     yield _batch(out)
                     out, size = [[], [], [], [], [], [], []], 0
@@ -228,17 +234,16 @@ def _spans(hit: np.ndarray, a: np.ndarray, length: int) -> tuple[np.ndarray, np.
 
 def _buckets(suffixes: DataFrame, length: int) -> DataFrame:
     """k1, k2, s, e: bytes to remove; or, with fp, a window of spread leading bytes, once per bucket: with its place if the bucket has it once, else without."""
-    lead = F.coalesce(F.substring("suffix", 1, GRAM), F.col("before"))
+    # Rows without a suffix have nothing to be sorted by: a hash spreads them.
+    lead = F.coalesce(F.substring("suffix", 1, GRAM), F.unhex(F.hex(F.xxhash64("k1", "k2", "a"))))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         def done(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-            # Of a suffix that its own text has again, all windows are repeated: they begin between a - |before| and a - salt.
-            alone = rows.filter(pc.is_null(rows.column("suffix")))
-            k1, k2, a, salt = (alone.column(c).to_numpy() for c in ("k1", "k2", "a", "salt"))
-            s = a - np.array([len(x) for x in alone.column("before").to_pylist()], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), pa.array(s.astype(np.int32)), pa.array((a - salt + length).astype(np.int32)), pa.nulls(len(s), pa.binary())], names=["k1", "k2", "s", "e", "fp"])
+            known = rows.filter(pc.is_null(rows.column("suffix")))
+            places = [pa.array(known.column(c).to_numpy()) for c in ("k1", "k2", "a", "salt")]
+            yield pa.RecordBatch.from_arrays([*places, pa.nulls(known.num_rows, pa.binary())], names=["k1", "k2", "s", "e", "fp"])
             rows = rows.filter(pc.is_valid(rows.column("suffix")))
             if not rows.num_rows:
                 return
