@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import dropped, written
+from .workers import tidy
 
 
 class Forest:
@@ -55,7 +56,7 @@ def _contracted(links: DataFrame) -> DataFrame:
         for at in range(0, len(nodes), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(np.array(x[at : at + 50_000], np.int64)) for x in (nodes, roots)], names=["a", "b"])
 
-    return links.select("a", "b").mapInArrow(contract, "a long, b long")
+    return links.select("a", "b").mapInArrow(tidy(contract), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -25,6 +25,7 @@ from pyspark.sql.window import Window
 from .graph import components, small_enough
 from .store import batched, dropped, read, released, written
 from .texts import mixed, signed
+from .workers import tidy
 
 #: Bytes of piece keys that a bucket holds on average; a task sorts one bucket at a time.
 BUCKET = 16 << 20
@@ -169,7 +170,7 @@ def _pieces(docs: DataFrame, width: int, percent: int, buckets: int) -> DataFram
                 empty = pa.nulls(len(part) - 1, pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[part[:-1]].astype(np.int64)), pack(key), pack(sig), empty, empty, empty, empty], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row"), F.col("text").cast("binary").alias("text")).mapInArrow(cut, "bucket long, keys binary, sigs binary, doc_id long, row long, n long, sig long")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row"), F.col("text").cast("binary").alias("text")).mapInArrow(tidy(cut), "bucket long, keys binary, sigs binary, doc_id long, row long, n long, sig long")
 
 
 def _groups(pieces: DataFrame, buckets: int, chunk: int = 4 << 20) -> DataFrame:
@@ -227,7 +228,7 @@ def _groups(pieces: DataFrame, buckets: int, chunk: int = 4 << 20) -> DataFrame:
         if keys:
             yield from flush(keys, sigs, False, rest)
 
-    return pieces.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "gid long, sig long, doc_id long, row long, n long")
+    return pieces.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(meet), "gid long, sig long, doc_id long, row long, n long")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -244,7 +245,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
             bits = [[parity_bits(x, 1 << max(2, math.ceil(math.log2(len(x) / n)))).tobytes() for x in sets] for n in (32, 8)]
             yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), *(pa.array(x, pa.binary()) for x in bits), batch.column(0).take(pa.array(some, pa.int64()))], names=["sig", "n", "sketch", "wide", "text"])
 
-    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(build, "sig long, n long, sketch binary, wide binary, text binary")
+    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(tidy(build), "sig long, n long, sketch binary, wide binary, text binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
@@ -268,7 +269,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, width: int, percent: int) -> Da
     side = lambda name: sets.select(F.col("sig").alias(name), F.col("n").alias(f"n{name}"), F.col("text").alias(f"s{name}"))
     # The member first: of the two ends, it is the one that is not shared by many pairs.
     joined = pairs.join(side("b"), "b").join(side("a"), "a").filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    return joined.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
+    return joined.select("a", "b", "sa", "sb").mapInArrow(tidy(check), "a long, b long")
 
 
 def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -289,7 +290,7 @@ def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     side = lambda name: sets.select(F.col("sig").alias(name), F.col("n").alias(f"n{name}"), F.col("sketch").alias(f"s{name}"))
     joined = pairs.join(side("b"), "b").join(side("a"), "a").filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    return joined.select("a", "b", (F.col("na") + F.col("nb")).alias("n"), "sa", "sb").mapInArrow(check, "a long, b long")
+    return joined.select("a", "b", (F.col("na") + F.col("nb")).alias("n"), "sa", "sb").mapInArrow(tidy(check), "a long, b long")
 
 
 def _stars(members: DataFrame, seed: int) -> DataFrame:
@@ -362,7 +363,7 @@ def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                             if len(hit):
                                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(hit, x["sig"][i])), pa.array(np.maximum(hit, x["sig"][i]))], names=["a", "b"])
 
-    return met.mapInArrow(compare, "a long, b long").distinct()
+    return met.mapInArrow(tidy(compare), "a long, b long").distinct()
 
 
 def grouped(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .store import batched, fold, read, written
+from .workers import tidy
 
 #: N-grams in a profile, and the distance that an n-gram adds which the other profile lacks.
 TOP = 300
@@ -96,7 +97,7 @@ def profiles(docs: DataFrame, folds: int = 3, held_out: int = 1, rows: int = 200
             for y, parts in by.items():
                 yield told(y, parts)
 
-    sums = sample.mapInArrow(counted, "y string, gram long, n long").groupBy("y", "gram").agg(F.sum("n").alias("n"))
+    sums = sample.mapInArrow(tidy(counted), "y string, gram long, n long").groupBy("y", "gram").agg(F.sum("n").alias("n"))
     best = sums.withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy(F.desc("n"), "gram"))).filter(F.col("r") <= top)
     out: dict[str, list] = {}
     for y, gram, _ in sorted(((x["y"], x["gram"], x["r"]) for x in best.collect()), key=lambda x: (x[0], x[2])):
@@ -136,7 +137,7 @@ def identified(docs: DataFrame, known: dict[str, np.ndarray], top: int = TOP) ->
                 scores.append(1 - float(d.min()) / (top * len(own)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(judge, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(judge), "doc_id long, lang_pred string, score double")
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .store import batched, read, written
+from .workers import tidy
 
 #: Token after each document.
 END = 0
@@ -84,7 +85,7 @@ def tokenised(docs: DataFrame, sequence: int = 1024, path: str | None = None) ->
             kinds = [pa.int64()] * 4 + [pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], names=["doc_id", "start", "length", "doc_tokens", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECE)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(cut), PIECE)
 
 
 def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

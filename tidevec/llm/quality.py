@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .store import batched, fold, read
 from .training import labelled
+from .workers import tidy
 
 #: Slots of hashed words; those of statistics follow.
 SLOTS = 1 << 15
@@ -148,7 +149,7 @@ def trained(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.array(s, np.int32).tobytes() for s, _ in got], pa.binary()), pa.array([np.array(v, np.float32).tobytes() for _, v in got], pa.binary())], names=["y", "slots", "values"])
 
     sample = labelled(docs, labels, "quality", folds, held_out, rows, size, dict(zip(("text", "n_chars"), _columns(docs))))
-    got = sample.mapInArrow(featured, "y int, slots binary, values binary").collect()
+    got = sample.mapInArrow(tidy(featured), "y int, slots binary, values binary").collect()
     return fit(sorted((r[0], bytes(r[1]), bytes(r[2])) for r in got))
 
 
@@ -174,7 +175,7 @@ def scored(docs: DataFrame, machine: Machine, keep: list[str]) -> DataFrame:
 
     from pyspark.sql import types as T
 
-    return docs.select(*keep, *[c.alias(f"_{i}") for i, c in enumerate(_columns(docs))]).mapInArrow(score, T.StructType([*keep_fields, T.StructField("score", T.DoubleType())]))
+    return docs.select(*keep, *[c.alias(f"_{i}") for i, c in enumerate(_columns(docs))]).mapInArrow(tidy(score), T.StructType([*keep_fields, T.StructField("score", T.DoubleType())]))
 
 
 #: Documents below this score are rejected.

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from .graph import small_enough
 from .store import batched, dropped, read, released, written
 from .texts import flat, mixed, signed
+from .workers import tidy
 
 GRAM = 100
 #: Suffixes with the same leading bytes in a bucket, about, before they are spread over several.
@@ -103,7 +104,7 @@ def _anchors(docs: DataFrame, length: int) -> DataFrame:
                 cols = [signed(h), k1[doc], k2[doc], (a - own << 24) | (a - lo << 12) | (a - hi)]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["h", "k1", "k2", "at"])
 
-    return _keys(docs).mapInArrow(find, "h long, k1 long, k2 long, at long")
+    return _keys(docs).mapInArrow(tidy(find), "h long, k1 long, k2 long, at long")
 
 
 def _place(at: int) -> tuple[int, int, int]:
@@ -154,7 +155,7 @@ def _suffixes(docs: DataFrame, repeated: DataFrame, length: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], names=["k1", "k2", "a", "before", "suffix", "salt", "copies"])
 
     lists = repeated.groupBy("k1", "k2").agg(F.collect_set(F.struct("at", "salt")).alias("at"))
-    return _keys(docs).join(lists, ["k1", "k2"]).select("k1", "k2", "data", F.sort_array("at").alias("at")).mapInArrow(cut, SUFFIX)
+    return _keys(docs).join(lists, ["k1", "k2"]).select("k1", "k2", "data", F.sort_array("at").alias("at")).mapInArrow(tidy(cut), SUFFIX)
 
 
 def multikey_quicksort(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -276,7 +277,7 @@ def _buckets(suffixes: DataFrame, length: int) -> DataFrame:
         if held:
             yield from done(pa.Table.from_batches(held))
 
-    return suffixes.repartitionByRange(lead, "salt").sortWithinPartitions(lead, "salt").mapInArrow(work, "k1 long, k2 long, s int, e int, fp binary")
+    return suffixes.repartitionByRange(lead, "salt").sortWithinPartitions(lead, "salt").mapInArrow(tidy(work), "k1 long, k2 long, s int, e int, fp binary")
 
 
 def repeats(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFrame:
@@ -342,7 +343,7 @@ def deduplicated(docs: DataFrame, columns: list[str], length: int = 400, hot: in
     keyed = docs.select(*columns, F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_k1"), F.xxhash64(text).alias("_k2"), text.cast("binary").alias("_data"))
     joined = keyed.join(spans, (F.col("_k1") == spans["k1"]) & (F.col("_k2") == spans["k2"]), "left").select(*columns, "_data", "spans")
     longs = [T.StructField(x, T.LongType()) for x in names[-3:]]
-    return joined.mapInArrow(cut, T.StructType([*(docs.schema[c] for c in columns), T.StructField("data", T.StringType() if as_text else T.BinaryType()), *longs]))
+    return joined.mapInArrow(tidy(cut), T.StructType([*(docs.schema[c] for c in columns), T.StructField("data", T.StringType() if as_text else T.BinaryType()), *longs]))
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

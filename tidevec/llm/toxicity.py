@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .store import batched, fold, read, written
 from .training import labelled
+from .workers import tidy
 
 #: Tokens of a chain that are worked off in step; longer chains are cut into chunks whose transfer matrices are exact.
 CHUNK = 128
@@ -137,7 +138,7 @@ def lexicon(sample: DataFrame, entries: int = 4096, sure: float = 3.0) -> list[t
                 kinds = {w.strip(STRIP).lower() for w in (t.as_py() or b"").split()}
                 yield pa.RecordBatch.from_arrays([pa.array(sorted(kinds), pa.binary()), pa.array([y] * len(kinds), pa.int32())], names=["word", "y"])
 
-    sums = written(sample.select("y", "text").mapInArrow(words, "word binary, y int").groupBy("word").agg(F.sum("y").alias("bad"), F.count("*").alias("n")))
+    sums = written(sample.select("y", "text").mapInArrow(tidy(words), "word binary, y int").groupBy("word").agg(F.sum("y").alias("bad"), F.count("*").alias("n")))
     docs, bad_docs, kinds = *sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first(), sums.count()
     if not 0 < bad_docs < docs:
         return []
@@ -209,7 +210,7 @@ def trained(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int =
             got = [np.array(features(t.as_py() or b""), np.int16).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.binary())], names=["y", "features"])
 
-    got = sample.select("y", "text").mapInArrow(tagged, "y int, features binary").collect()
+    got = sample.select("y", "text").mapInArrow(tidy(tagged), "y int, features binary").collect()
     rows_ = sorted((r[0], bytes(r[1])) for r in got)
     return fit([(y, np.frombuffer(x, np.int16)) for y, x in rows_], words, telling)
 
@@ -257,7 +258,7 @@ def scored(docs: DataFrame, field: Field, span_least: float = 0.5) -> DataFrame:
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(spans, kind)], names=["doc_id", "score", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(score, "doc_id long, score double, spans array<struct<start: long, end: long>>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(tidy(score), "doc_id long, score double, spans array<struct<start: long, end: long>>")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
