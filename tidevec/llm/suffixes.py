@@ -91,7 +91,10 @@ def _keys(docs: DataFrame) -> DataFrame:
 
 
 def _anchors(docs: DataFrame, length: int) -> DataFrame:
-    """h, k1, k2 and at: the anchor's place in the text, and how far before it its first and last windows begin, in one number (see _place)."""
+    """h, k1, k2 and places: of each anchor with the hash h, its place in the text, and how far before it its first and last windows begin, in one number (see _place).
+
+    Anchors of a text with equal hashes, as a text that repeats itself has many, are told in one row where they are found together.
+    """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Anchors(length)
@@ -101,10 +104,14 @@ def _anchors(docs: DataFrame, length: int) -> DataFrame:
             for h, a, lo, hi in finder.find(data, starts):
                 doc = np.searchsorted(starts, lo, "right") - 1
                 own = starts[doc]
-                cols = [signed(h), k1[doc], k2[doc], (a - own << 24) | (a - lo << 12) | (a - hi)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["h", "k1", "k2", "at"])
+                by = np.lexsort((h, doc))
+                doc, h, at = doc[by], signed(h)[by], ((a - own << 24) | (a - lo << 12) | (a - hi))[by]
+                first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])))
+                places = pa.ListArray.from_arrays(pa.array(np.append(first, len(h)), pa.int32()), pa.array(at))
+                cols = [h[first], k1[doc[first]], k2[doc[first]]]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), places], names=["h", "k1", "k2", "places"])
 
-    return _keys(docs).mapInArrow(tidy(find), "h long, k1 long, k2 long, at long")
+    return _keys(docs).mapInArrow(tidy(find), "h long, k1 long, k2 long, places array<long>")
 
 
 def _place(at: int) -> tuple[int, int, int]:
@@ -285,9 +292,9 @@ def repeats(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFrame:
     docs = batched(docs)
     anchors = written(_anchors(docs, length))
     # Written, so that the join below reads two plain tables and a passage that very many texts hold can be split among tasks.
-    counts = written(anchors.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1"))
+    counts = written(anchors.groupBy("h").agg(F.sum(F.size("places")).alias("c")).filter("c > 1"))
     spread = F.when(F.col("c") > hot, F.pmod(F.xxhash64("k1", "k2", "at"), F.ceil(F.col("c") / hot)).cast("int")).otherwise(F.lit(-1))
-    repeated = anchors.join(small_enough(counts), "h").select("k1", "k2", "at", spread.alias("salt"))
+    repeated = anchors.join(small_enough(counts), "h").select("k1", "k2", "c", F.explode("places").alias("at")).select("k1", "k2", "at", spread.alias("salt"))
     found = written(_buckets(_suffixes(docs, repeated, length), length))
     dropped(anchors, counts)
     del repeated
