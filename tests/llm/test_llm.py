@@ -116,6 +116,9 @@ def test_linked_sets_share_a_key_and_unrelated_ones_of_a_size_do_not():
 
 @pytest.mark.parametrize("hot", [50_000, 2])
 def test_suffixes(docs, empty, hot):
+    turns = [(701, "repeat('round and ', 400)"), (702, "concat('x', repeat('round and ', 300), 'once')"), (703, "repeat('0', 1300)"), (704, "repeat('0', 400)")]
+    for i, text in turns:  # texts that repeat themselves
+        docs = docs.unionByName(docs.filter("doc_id = 0").selectExpr(f"{i} as doc_id", f"{text} as text", "lang", "source", "n_chars", "score"))
     rows = docs.collect()
     texts = [(r.text or "").encode() for r in rows]
     seen = {}
