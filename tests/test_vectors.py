@@ -1,3 +1,4 @@
+import math
 import os
 import random
 
@@ -6,7 +7,8 @@ import numpy as np
 import pytest
 
 from tidevec import catalogue
-from tidevec.operators import cells, evaluate, graph, insert, routing, search
+from tidevec.operators import blocks, cells, evaluate, graph, insert, routing, search
+from tidevec.operators import knn as knn_module
 from tidevec.operators.knn import knn, knn_graph, pad, queries_of
 from tidevec.sources import vectors as files
 from tidevec.streaming import inserts
@@ -207,3 +209,49 @@ def test_streamed_windows_and_inserts(spark, tmp_path):
     q = inserts.insert_stream(stream, lambda df, n: taken.append((n, df.count())), str(tmp_path / "d")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert taken == [(0, 300)]
+
+
+ODD = [None, [], [1.0], [float("nan"), 1.0], [float("inf"), 0.0], [None, 1.0], [0.0, 0.0], [1e200, 1e-200], [-1e-200, 0.0]]
+
+
+@pytest.mark.parametrize("metric", ["l2", "inner_product", "cosine"])
+@pytest.mark.parametrize("limits", [{}, {"ROWS": 3, "PAIRS": 5, "HELD": 2}])
+def test_blocks_find_what_all_pairs_hold(spark, monkeypatch, metric, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(blocks, name, value)
+    monkeypatch.setattr(knn_module, "BROADCAST_NUMBERS", 8 << 20 if not limits else 8)  # not all queries are broadcast
+    rnd = random.Random(7)
+    vectors = [[float(rnd.randint(-2, 2)) for _ in range(2)] for _ in range(40)] + (ODD if metric != "cosine" else ODD[:3] + ODD[5:7])
+    rows = [(i, i // 6, x) for i, x in enumerate(vectors)]
+    table = spark.createDataFrame(rows, "id long, ts long, v array<double>")
+    sums = {"l2": lambda a, b: sum((x - y) * (x - y) for x, y in zip(a, b)), "inner_product": lambda a, b: sum(x * y for x, y in zip(a, b))}
+    dot = sums["inner_product"]
+    sums["cosine"] = lambda a, b: dot(a, b) / math.sqrt(dot(a, a) * dot(b, b)) if dot(a, a) * dot(b, b) else None
+
+    def key(a, b):
+        if a is None or b is None or len(a) != len(b) or None in a + b or (d := sums[metric](a, b)) is None:
+            return 2, 0.0
+        return (0 if metric == "l2" else -1, 0.0) if d != d else (0, d if metric == "l2" else -d)
+
+    key2 = lambda a, b: (1, 0.0) if metric == "l2" and None not in (a, b) and len(a) == len(b) and None not in a + b and sums["l2"](a, b) != sums["l2"](a, b) else key(a, b)
+    for other in (False, True):
+        got = {}
+        for r in knn(queries_of(table, 1), table, 5, metric, other_bucket=other).orderBy("qid", "rank").collect():
+            got.setdefault(r.qid, []).append(r.id)
+        for q, ts, a in rows:
+            assert got[q] == [i for i, t, b in sorted((x for x in rows if not other or x[1] != ts), key=lambda x: (key2(a, x[2]), x[0]))[:5]], (q, a)
+    if metric == "l2":
+        graph_of = {}
+        for r in knn_graph(table, 5, by_bucket=False).orderBy("src", "rank").collect():
+            graph_of.setdefault(r.src, []).append(r.dst)
+        for q, _, a in rows:
+            assert graph_of[q] == [i for i, t, b in sorted((x for x in rows if x[0] != q), key=lambda x: (key2(a, x[2]), x[0]))[:5]], (q, a)
+
+
+def test_exact_graphs_meet_blocks_not_rows(spark):
+    """A join of rows with rows took minutes on 10,000 vectors."""
+    t = catalogue.Tables(spark, D)
+    for df in (knn_graph(t.v, by_bucket=False), knn(t.q, t.v), graph.partitioned_graph(t.v)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        after = plan.split("Join Cross")[1:]
+        assert after and all("MapInArrow" in x for x in after)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.vector import wang_hash
-from .knn import knn, small, top
+from .knn import as_queries, knn, small, top
 
 
 def assigned(existing: DataFrame, batch: DataFrame) -> DataFrame:
@@ -16,10 +16,6 @@ def assigned(existing: DataFrame, batch: DataFrame) -> DataFrame:
     return batch.crossJoin(F.broadcast(last)).select((F.col("last") + F.row_number().over(Window.orderBy("n"))).cast("long").alias("id"), "ts", "v")
 
 
-def as_queries(batch: DataFrame) -> DataFrame:
-    return batch.select(F.col("id").alias("qid"), F.col("ts").alias("qts"), F.col("v").alias("qv"))
-
-
 def candidates(existing: DataFrame, batch: DataFrame, k: int = 8) -> DataFrame:
     """new_id, rank, id, dist among all existing rows."""
     return knn(as_queries(batch), existing, k).withColumnRenamed("qid", "new_id")
