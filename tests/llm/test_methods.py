@@ -191,3 +191,39 @@ def test_pipeline_stages_on_a_small_table(spark, tmp_path):
     empty = spark.read.parquet(f"{d}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, d).count() == 0
+
+
+def test_jaccard_moves_texts_of_possible_pairs_only(spark, monkeypatch):
+    """Sets that meet on a common phrase and do not link are told apart by their sketches; their texts stay where they are."""
+    from tidevec.llm import jaccard
+
+    texts = [" ".join(f"w{i}x{j}" for j in range(40)) + " this phrase is in every text" for i in range(40)]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate([*texts, texts[0] + " end"])], "doc_id long, text string")
+    made, keep = [], jaccard.written
+
+    def told(df):
+        out = keep(df)
+        if "text" in df.columns:
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "written", told)
+    roots = {r.doc_id: r.root for r in jaccard.grouped(docs).collect()}
+    assert roots[0] == roots[40] and len(set(roots.values())) == 40
+    assert sum(made) == 2, made
+
+
+def test_places_of_anchors_are_not_rows(spark, monkeypatch):
+    from tidevec.llm import suffixes
+
+    plans, keep = [], suffixes._suffixes
+
+    def told(docs, repeated, length):
+        plans.append(repeated._jdf.queryExecution().optimizedPlan().toString())
+        return keep(docs, repeated, length)
+
+    monkeypatch.setattr(suffixes, "_suffixes", told)
+    passage = "".join(chr(97 + i * i % 23) for i in range(500))
+    docs = spark.createDataFrame([(i, f"{i} {passage} {i * 7} " * 2) for i in range(6)], "doc_id long, text string")
+    assert all(r.n_removed >= 1000 for r in suffixes.deduplicated(docs, ["doc_id"]).collect())
+    assert plans and "Generate" not in plans[0]

@@ -231,8 +231,8 @@ def _groups(pieces: DataFrame, buckets: int, chunk: int = 4 << 20) -> DataFrame:
     return pieces.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(meet), "gid long, sig long, doc_id long, row long, n long")
 
 
-def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """sig, n, sketch (2 to 4 bits per shingle), wide (8 to 16) and text of the texts of docs that have words. Texts travel rather than hashes, since they compress."""
+def _sets(docs: DataFrame, width: int, texts: bool = False) -> DataFrame:
+    """sig, n and sketch (2 to 4 bits per shingle, 256 at least), or text, of the texts of docs that have words. Texts travel rather than hashes, since they compress."""
     import xxhash
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,14 +242,22 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
             some = [i for i, x in enumerate(sets) if len(x)]
             sets = [sets[i] for i in some]
             sigs = [xxhash.xxh3_64_intdigest(x.tobytes()) - 2**63 for x in sets]
-            bits = [[parity_bits(x, 1 << max(2, math.ceil(math.log2(len(x) / n)))).tobytes() for x in sets] for n in (32, 8)]
-            yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), *(pa.array(x, pa.binary()) for x in bits), batch.column(0).take(pa.array(some, pa.int64()))], names=["sig", "n", "sketch", "wide", "text"])
+            last = batch.column(0).take(pa.array(some, pa.int64())) if texts else pa.array([parity_bits(x, 1 << max(2, math.ceil(math.log2(len(x) / 32)))).tobytes() for x in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), last], names=["sig", "n", name])
 
-    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(tidy(build), "sig long, n long, sketch binary, wide binary, text binary")
+    name = "text" if texts else "sketch"
+    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(tidy(build), f"sig long, n long, {name} binary")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are at least percent/100 alike."""
+def _found(docs: DataFrame, one: DataFrame, sigs: DataFrame) -> DataFrame:
+    """The texts of docs, one of each of the sets sigs (a written table) at least: found by doc_id (one: sig, id) where there is one."""
+    ids = written(one.filter("id is not null").join(small_enough(sigs), "sig", "left_semi").select("id").distinct())
+    named = docs.join(small_enough(ids), docs["doc_id"].cast("long") == ids["id"], "left_semi").select("text")
+    return named.unionByName(docs.filter("doc_id is null").select("text"))
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, one: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b: a written table) whose sets are at least percent/100 alike. Only texts of sets among them are read again, so few move where few pairs are left."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, last, p = _shingler(width), None, None
@@ -266,10 +274,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, width: int, percent: int) -> Da
             keep = np.flatnonzero(keep)
             yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(keep)) for i in (0, 1)], names=["a", "b"])
 
+    sigs = written(pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct())
+    sets = written(_sets(_found(docs, one, sigs), width, texts=True).join(small_enough(sigs), "sig", "left_semi").dropDuplicates(["sig"]))
     side = lambda name: sets.select(F.col("sig").alias(name), F.col("n").alias(f"n{name}"), F.col("text").alias(f"s{name}"))
     # The member first: of the two ends, it is the one that is not shared by many pairs.
     joined = pairs.join(side("b"), "b").join(side("a"), "a").filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    return joined.select("a", "b", "sa", "sb").mapInArrow(tidy(check), "a long, b long")
+    out = written(joined.select("a", "b", "sa", "sb").mapInArrow(tidy(check), "a long, b long"))
+    dropped(sigs, sets)
+    return out
 
 
 def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -380,22 +392,23 @@ def grouped(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(16 * pieces / BUCKET))
     met = written(_groups(_pieces(docs, width, percent, buckets), buckets))
     released(spark)
-    rows = met.filter("gid is null").select("doc_id", "row", "n", "sig")
+    rows = written(met.filter("gid is null").select("doc_id", "row", "n", "sig"))
     groups = written(met.filter("gid is not null").select("gid", "sig").distinct())
+    dropped(met)
     involved = written(groups.select("sig").distinct())
     # One row of each set that met another: its text is read again, found by doc_id where there is one.
-    one = rows.filter("sig is not null").join(small_enough(involved), "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("id"))
-    one = written(one.select("id").filter("id is not null").distinct())
-    named = docs.join(small_enough(one), docs["doc_id"].cast("long") == one["id"], "left_semi").select("text")
-    texts = named.unionByName(docs.filter("doc_id is null").select("text"))
-    sets = written(_sets(texts, width).join(small_enough(involved), "sig", "left_semi").dropDuplicates(["sig"]))
+    one = written(rows.filter("sig is not null").join(small_enough(involved), "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("id")))
+    sets = written(_sets(_found(docs, one, involved), width).join(small_enough(involved), "sig", "left_semi").dropDuplicates(["sig"]))
     released(spark)
     # First one pair for each set, with the smallest that it meets; what they do not connect is compared across components.
     low = groups.groupBy("gid").agg(F.min("sig").alias("a"))
     stars = groups.join(low, "gid").filter("a <> sig").groupBy(F.col("sig").alias("b")).agg(F.min("a").alias("a")).select("a", "b")
-    links = written(_verified(stars, sets, width, percent))
+    stars = written(_possible(stars, sets, percent))
+    links = _verified(stars, docs, one, width, percent)
+    del low
+    released(spark)
     roots = written(components(links))
-    failed, made = None, [links]
+    failed, made = None, [links, stars]
     for step in (1, 2, 0):
         members = groups.join(roots, groups["sig"] == roots["node"], "left").select("gid", "sig", F.coalesce("root", "sig").alias("root"))
         state = members.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).filter("lo <> hi").select("gid", "c")
@@ -403,16 +416,17 @@ def grouped(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         if step:
             tried = _possible(_stars(rest, step), sets, percent)
         else:  # whatever is still in several components is compared pair by pair
-            tried = _possible(_apart(rest.filter(F.col("c") <= FEW)), sets, percent).unionByName(_across(rest.filter(F.col("c") > FEW), sets, percent)).distinct()
+            tried = _possible(_apart(rest.filter(F.col("c") <= FEW)), sets, percent).unionByName(_across(rest.filter(F.col("c") > FEW), sets.withColumnRenamed("sketch", "wide"), percent)).distinct()
         tried = written(tried if failed is None else tried.join(failed, ["a", "b"], "left_anti"))
-        more = written(_verified(tried, sets, width, percent))
+        more = _verified(tried, docs, one, width, percent) if tried.limit(1).count() else tried
         if more.limit(1).count():
             links = links.unionByName(more)
             roots = written(components(links))
         out = tried.join(more, ["a", "b"], "left_anti")
         failed = out if failed is None else failed.unionByName(out)
-        made += [tried, more]
+        made += [tried] if more is tried else [tried, more]
         dropped(rest)
+        del members, state, out
         released(spark)
     dropped(*made, groups, involved, one, sets)
     return rows.join(roots, rows["sig"] == roots["node"], "left").select("doc_id", "row", F.col("n").alias("n_shingles"), F.coalesce("root", "sig").alias("root"))

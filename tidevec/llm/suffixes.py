@@ -124,7 +124,7 @@ SUFFIX = "k1 long, k2 long, a int, before binary, suffix binary, salt int, copie
 
 
 def _suffixes(docs: DataFrame, repeated: DataFrame, length: int) -> DataFrame:
-    """The suffixes at repeated anchors. before and suffix reach as far as the anchor's windows; one that is found again in its own text, with all its windows, is kept once with copies = 2.
+    """The suffixes at repeated anchors (k1, k2, at: lists of places and salts). before and suffix reach as far as the anchor's windows; one that is found again in its own text, with all its windows, is kept once with copies = 2.
 
     The bytes of the others of these need no neighbour: they are merged within the text and given as rows without before and suffix, from a to salt.
     """
@@ -137,8 +137,8 @@ def _suffixes(docs: DataFrame, repeated: DataFrame, length: int) -> DataFrame:
                 data = data.as_py()
                 seen: dict[tuple, int] = {}
                 known: list[tuple[int, int]] = []
-                for x in at:
-                    a, lo, hi = _place(x["at"])
+                for place, salt in sorted({(x["at"], x["salt"]) for x in at}):
+                    a, lo, hi = _place(place)
                     mark = (a - lo, hashlib.blake2b(data[lo : hi + length], digest_size=16).digest())
                     if mark in seen:
                         # both are repeated: this one needs no neighbour, the other is told
@@ -146,7 +146,7 @@ def _suffixes(docs: DataFrame, repeated: DataFrame, length: int) -> DataFrame:
                         known.append((lo, hi + length))
                         continue
                     seen[mark] = len(out[0])
-                    for to, v in zip(out, (k1, k2, a, data[lo:a], data[a : hi + length], x["salt"], 1)):
+                    for to, v in zip(out, (k1, k2, a, data[lo:a], data[a : hi + length], salt, 1)):
                         to.append(v)
                     size += hi + length - lo
                 for s, e in _merged(known):
@@ -161,8 +161,8 @@ def _suffixes(docs: DataFrame, repeated: DataFrame, length: int) -> DataFrame:
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.int32()]
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], names=["k1", "k2", "a", "before", "suffix", "salt", "copies"])
 
-    lists = repeated.groupBy("k1", "k2").agg(F.collect_set(F.struct("at", "salt")).alias("at"))
-    return _keys(docs).join(lists, ["k1", "k2"]).select("k1", "k2", "data", F.sort_array("at").alias("at")).mapInArrow(tidy(cut), SUFFIX)
+    lists = repeated.groupBy("k1", "k2").agg(F.flatten(F.collect_set("at")).alias("at"))
+    return _keys(docs).join(lists, ["k1", "k2"]).select("k1", "k2", "data", "at").mapInArrow(tidy(cut), SUFFIX)
 
 
 def multikey_quicksort(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -293,8 +293,9 @@ def repeats(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFrame:
     anchors = written(_anchors(docs, length))
     # Written, so that the join below reads two plain tables and a passage that very many texts hold can be split among tasks.
     counts = written(anchors.groupBy("h").agg(F.sum(F.size("places")).alias("c")).filter("c > 1"))
-    spread = F.when(F.col("c") > hot, F.pmod(F.xxhash64("k1", "k2", "at"), F.ceil(F.col("c") / hot)).cast("int")).otherwise(F.lit(-1))
-    repeated = anchors.join(small_enough(counts), "h").select("k1", "k2", "c", F.explode("places").alias("at")).select("k1", "k2", "at", spread.alias("salt"))
+    spread = lambda at: F.when(F.col("c") > hot, F.pmod(F.xxhash64("k1", "k2", at), F.ceil(F.col("c") / hot)).cast("int")).otherwise(F.lit(-1))
+    # Places stay in their text's list: a row for each would be as many as a passage's copies.
+    repeated = anchors.join(small_enough(counts), "h").select("k1", "k2", F.transform("places", lambda at: F.struct(at.alias("at"), spread(at).alias("salt"))).alias("at"))
     found = written(_buckets(_suffixes(docs, repeated, length), length))
     dropped(anchors, counts)
     del repeated
