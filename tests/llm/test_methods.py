@@ -227,3 +227,11 @@ def test_places_of_anchors_are_not_rows(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"{i} {passage} {i * 7} " * 2) for i in range(6)], "doc_id long, text string")
     assert all(r.n_removed >= 1000 for r in suffixes.deduplicated(docs, ["doc_id"]).collect())
     assert plans and "Generate" not in plans[0]
+
+
+def test_shuffled_piece_keys_are_short_and_keep_their_bucket():
+    from tidevec.llm import jaccard
+
+    keys = np.random.default_rng(1).integers(0, 2**64, 500, np.uint64)
+    back = jaccard._long(jaccard._short(keys).tobytes())
+    assert jaccard._short(keys).nbytes == 6 * len(keys) and (back == keys >> np.uint64(16) << np.uint64(16)).all()

@@ -29,6 +29,8 @@ from .workers import tidy
 
 #: Bytes of piece keys that a bucket holds on average; a task sorts one bucket at a time.
 BUCKET = 16 << 20
+#: Bytes of a piece key that are shuffled.
+KEY = 6
 #: Documents, and bytes of their sketches, about, in a block of a large group that must be compared pair by pair, and the most documents in a group that is not large.
 BLOCK, BLOCK_BYTES, FEW = 2048, 2 << 20, 48
 
@@ -124,6 +126,18 @@ def parity_bits(shingles: np.ndarray, words: int) -> np.ndarray:
     return out
 
 
+def _short(keys: np.ndarray) -> np.ndarray:
+    """The upper KEY bytes of each key. Sets that meet on equal ones are verified, so keys that differ below cost a comparison and lose nothing."""
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - KEY :])
+
+
+def _long(short: bytes) -> np.ndarray:
+    """The keys of _short(), with zeros below."""
+    out = np.zeros((len(short) // KEY, 8), np.uint8)
+    out[:, 8 - KEY :] = np.frombuffer(short, np.uint8).reshape(-1, KEY)
+    return out.view("<u8").ravel().astype(np.uint64)
+
+
 def _pieces(docs: DataFrame, width: int, percent: int, buckets: int) -> DataFrame:
     """Two kinds of rows. With keys: bucket, keys, sigs: piece keys with their sets' signatures, packed by bucket; equal sets of a batch once.
 
@@ -165,10 +179,10 @@ def _pieces(docs: DataFrame, width: int, percent: int, buckets: int) -> DataFram
             cuts = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]])
             for at in range(0, len(cuts) - 1, 5000):
                 part = cuts[at : at + 5001]
-                offsets = pa.array(((part - part[0]) * 8).astype(np.int32))
-                pack = lambda x: pa.BinaryArray.from_buffers(pa.binary(), len(part) - 1, [None, offsets.buffers()[1], pa.py_buffer(x[part[0] : part[-1]].tobytes())])  # noqa: E731, B023
+                offsets = lambda size: pa.array(((part - part[0]) * size).astype(np.int32)).buffers()[1]  # noqa: E731, B023
+                pack = lambda x, size: pa.BinaryArray.from_buffers(pa.binary(), len(part) - 1, [None, offsets(size), pa.py_buffer(x[part[0] : part[-1]].tobytes())])  # noqa: E731, B023
                 empty = pa.nulls(len(part) - 1, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[part[:-1]].astype(np.int64)), pack(key), pack(sig), empty, empty, empty, empty], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[part[:-1]].astype(np.int64)), pack(_short(key), KEY), pack(sig, 8), empty, empty, empty, empty], names=names)
 
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row"), F.col("text").cast("binary").alias("text")).mapInArrow(tidy(cut), "bucket long, keys binary, sigs binary, doc_id long, row long, n long, sig long")
 
@@ -222,7 +236,7 @@ def _groups(pieces: DataFrame, buckets: int, chunk: int = 4 << 20) -> DataFrame:
                     keys, sigs, size = [], [], 0
                     if b != bucket:
                         bucket, rest = b, []
-                keys.append(np.frombuffer(k.as_py(), np.uint64))
+                keys.append(_long(k.as_py()))
                 sigs.append(np.frombuffer(s.as_py(), np.int64))
                 size += len(keys[-1])
         if keys:
