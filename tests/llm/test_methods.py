@@ -235,3 +235,18 @@ def test_shuffled_piece_keys_are_short_and_keep_their_bucket():
     keys = np.random.default_rng(1).integers(0, 2**64, 500, np.uint64)
     back = jaccard._long(jaccard._short(keys).tobytes())
     assert jaccard._short(keys).nbytes == 6 * len(keys) and (back == keys >> np.uint64(16) << np.uint64(16)).all()
+
+
+def test_no_link_hangs_on_the_size_of_a_label(spark):
+    """Pairs just above the threshold in a label that is planned like one large enough for projections, which lost some."""
+    from tidevec.llm import vectors
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(2500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    u = rng.normal(size=x.shape)
+    u -= (u * x).sum(axis=1, keepdims=True) * x
+    y = 0.931 * x + np.sqrt(1 - 0.931**2) * u / np.linalg.norm(u, axis=1, keepdims=True)
+    rows = [(i, z.tolist(), 1) for i, z in enumerate(np.concatenate([x, y]))]
+    got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), work=640).collect()  # as a larger label would be planned
+    assert sum(r.n_links == 1 and r.component_id == r.vec_id % 2500 for r in got) == 5000

@@ -1,7 +1,7 @@
 """Embedding near-dedup by whole key cells.
 
 Exact copies are linked first. Then, in each pass, vectors of a label whose signs of the same random projections are all equal
-form a cell, and a cell is compared as a whole, in blocks, however crowded it is; without projections the label is one cell. Links of all
+form a cell, and a cell is compared as a whole, in blocks, however crowded it is; without projections, as op8 has it, the label is one cell. Links of all
 passes are united to components; then every vector is compared with all of its component, so that counts of links are exact.
 """
 
@@ -73,7 +73,9 @@ def _valid(rows: DataFrame, vector: str, label: str) -> DataFrame:
 
 
 def _planned(rows: DataFrame, least: float, missed: float, work: int) -> DataFrame:
-    """rows (rid, label, dim, vec) with the bits and passes of their label and dimension; plans are made by executors, as labels may be many."""
+    """rows (rid, label, dim, vec) with the bits and passes of their label and dimension; plans are made by executors, as labels may be many. Where no pair may be missed there are no bits."""
+    if not missed:
+        return rows.select("rid", "label", "dim", "vec", F.lit(0).alias("bits"), F.lit(1).alias("passes"))
     sizes = rows.groupBy("label", "dim").agg(F.count("*").alias("c"))
     large = small_enough(written(sizes.filter(F.col("c") * F.col("dim") > 2 * work)))  # for fewer, a second pass costs more than it can save
 
@@ -195,14 +197,14 @@ def _counted(members: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
     return met.mapInArrow(tidy(count), "rid long, n long").groupBy("rid").agg(F.sum("n").alias("n")).unionByName(sure)
 
 
-def near_vectors(table: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = 0.93, missed: float = 0.02, seed: int = 23, work: int = PASS) -> DataFrame:
+def near_vectors(table: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = 0.93, missed: float = 0.0, seed: int = 23, work: int = PASS) -> DataFrame:
     """vec_id, n_links, component_id (the smallest vec_id reachable) and kept, a row per row of table.
 
     Vectors link if label and dimension are equal and their cosine, in doubles, is at least `least`. Null, empty and zero
     vectors, those with null or non-finite components and those with a null label link with nothing. Repeated rows
-    are vectors of their own (with a cosine of 1); rows with a null vec_id link but name no component. plan() bounds the chance that a pair
-    is missed by `missed`, however the vectors of a label lie; no partners are capped. Where vectors of a label lie in a narrow cone, no
-    projections tell them apart and all of its pairs are compared, so the work grows with the square of that label.
+    are vectors of their own (with a cosine of 1); rows with a null vec_id link but name no component. No partners are capped.
+    missed: 0 finds all pairs at every size, as each label is one cell, so the work grows with the square of a label. Else plan() bounds the chance that
+    a pair is missed by it, however the vectors of a label lie; labels that are small or lie in a narrow cone are then compared in full all the same.
     Other columns are not read; an empty table gives no rows.
     """
     table = batched(table)
