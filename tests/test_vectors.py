@@ -255,3 +255,17 @@ def test_exact_graphs_meet_blocks_not_rows(spark):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         after = plan.split("Join Cross")[1:]
         assert after and all("MapInArrow" in x for x in after)
+
+
+def test_the_sample_for_cells_is_no_list_of_rows(spark, monkeypatch):
+    table = ramp(spark, 300)
+    sizes, keep = [], type(table).collect
+
+    def told(df):
+        out = keep(df)
+        sizes.append(len(out))
+        return out
+
+    monkeypatch.setattr(type(table), "collect", told)
+    assert cells.centres(table, 5).shape == (5, 4)
+    assert max(sizes, default=0) <= 1
