@@ -250,3 +250,25 @@ def test_no_link_hangs_on_the_size_of_a_label(spark):
     rows = [(i, z.tolist(), 1) for i, z in enumerate(np.concatenate([x, y]))]
     got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), work=640).collect()  # as a larger label would be planned
     assert sum(r.n_links == 1 and r.component_id == r.vec_id % 2500 for r in got) == 5000
+
+
+def test_texts_without_repeats_are_not_shuffled(spark):
+    from tidevec.llm import suffixes
+
+    rnd = np.random.default_rng(3)
+    texts = [rnd.bytes(2000).hex() for _ in range(200)]
+    texts += [f"one {texts[0][:500]} and", f"two {'x' * 300}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    def shuffled():
+        executors = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+        return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+    before, keep = shuffled(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r.doc_id: r.n_removed for r in suffixes.deduplicated(docs, ["doc_id"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
+    moved = shuffled() - before
+    assert moved < 200_000, moved  # the texts have 800,000 bytes
+    assert {k for k, n in got.items() if n} == {0, 200} and got[0] == got[200] == 500 and len(got) == 202

@@ -89,3 +89,26 @@ def components(links: DataFrame) -> DataFrame:
 def small_enough(df: DataFrame, rows: int = 300_000) -> DataFrame:
     """df marked for broadcast if it has at most `rows` rows (narrow ones: a few MB), else as it is, for a shuffled join. df is counted: give a written table."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+class Keys:
+    """A bitmap of the hashes of the rows of keys (a written table) in its columns, about 16 bits for each and `most` in all. It goes to the driver and is broadcast: 8 MB at most, however many keys there are."""
+
+    def __init__(self, keys: DataFrame, columns: list[str], most: int = 1 << 26) -> None:
+        self.columns, self.size = columns, min(most, 1 << max(10, (8 * keys.count()).bit_length()))
+        bit = F.expr("shiftleft(1L, cast(p & 63 as int))")
+        told = keys.select(self._place().alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+        words = np.zeros(self.size // 64, np.int64)
+        words[np.asarray(told.column("word"))] = np.asarray(told.column("bits"))
+        row = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), pa.array(words))
+        self.frame = keys.sparkSession.createDataFrame(pa.table({"_bits": row}))
+
+    def _place(self):
+        return F.pmod(F.xxhash64(*self.columns), F.lit(self.size))
+
+    def split(self, df: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The rows of df that may be among the keys, and those that are not. Few of the former are not either, unless `most` is too small for the keys: join them. No row is shuffled."""
+        place = self._place()
+        told = F.getbit(F.get("_bits", F.shiftright(place, 6).cast("int")), place.bitwiseAND(F.lit(63)).cast("int")) == 1
+        both = df.crossJoin(F.broadcast(self.frame))
+        return both.filter(told).select(*df.columns), both.filter(~told).select(*df.columns)

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .graph import small_enough
+from .graph import Keys, small_enough
 from .store import batched, dropped, read, released, written
 from .texts import flat, mixed, signed
 from .workers import tidy
@@ -162,7 +162,10 @@ def _suffixes(docs: DataFrame, repeated: DataFrame, length: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], names=["k1", "k2", "a", "before", "suffix", "salt", "copies"])
 
     lists = repeated.groupBy("k1", "k2").agg(F.flatten(F.collect_set("at")).alias("at"))
-    return _keys(docs).join(lists, ["k1", "k2"]).select("k1", "k2", "data", "at").mapInArrow(tidy(cut), SUFFIX)
+    # Only texts with a repeated anchor are shuffled.
+    keys = written(repeated.select("k1", "k2").distinct())
+    texts, _ = Keys(keys, ["k1", "k2"]).split(_keys(docs))
+    return texts.join(lists, ["k1", "k2"]).select("k1", "k2", "data", "at").mapInArrow(tidy(cut), SUFFIX)
 
 
 def multikey_quicksort(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -295,7 +298,9 @@ def repeats(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFrame:
     counts = written(anchors.groupBy("h").agg(F.sum(F.size("places")).alias("c")).filter("c > 1"))
     spread = lambda at: F.when(F.col("c") > hot, F.pmod(F.xxhash64("k1", "k2", at), F.ceil(F.col("c") / hot)).cast("int")).otherwise(F.lit(-1))
     # Places stay in their text's list: a row for each would be as many as a passage's copies.
-    repeated = anchors.join(small_enough(counts), "h").select("k1", "k2", F.transform("places", lambda at: F.struct(at.alias("at"), spread(at).alias("salt"))).alias("at"))
+    once = small_enough(counts)
+    met = Keys(counts, ["h"]).split(anchors)[0] if once is counts else anchors
+    repeated = met.join(once, "h").select("k1", "k2", F.transform("places", lambda at: F.struct(at.alias("at"), spread(at).alias("salt"))).alias("at"))
     found = written(_buckets(_suffixes(docs, repeated, length), length))
     dropped(anchors, counts)
     del repeated
@@ -346,10 +351,14 @@ def deduplicated(docs: DataFrame, columns: list[str], length: int = 400, hot: in
 
     from pyspark.sql import types as T
 
-    spans = repeats(docs, length, hot)
+    spans = written(repeats(docs, length, hot))
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select(*columns, F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_k1"), F.xxhash64(text).alias("_k2"), text.cast("binary").alias("_data"))
-    joined = keyed.join(spans, (F.col("_k1") == spans["k1"]) & (F.col("_k2") == spans["k2"]), "left").select(*columns, "_data", "spans")
+    # Texts that nothing is removed from stay where they are; only the others are shuffled.
+    spans = spans.withColumnsRenamed({"k1": "_k1", "k2": "_k2"})
+    some, others = Keys(spans, ["_k1", "_k2"]).split(keyed)
+    some = some.join(spans, ["_k1", "_k2"], "left").select(*columns, "_data", "spans")
+    joined = others.select(*columns, "_data", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans")).unionByName(some)
     longs = [T.StructField(x, T.LongType()) for x in names[-3:]]
     return joined.mapInArrow(tidy(cut), T.StructType([*(docs.schema[c] for c in columns), T.StructField("data", T.StringType() if as_text else T.BinaryType()), *longs]))
 
