@@ -269,3 +269,29 @@ def test_the_sample_for_cells_is_no_list_of_rows(spark, monkeypatch):
     monkeypatch.setattr(type(table), "collect", told)
     assert cells.centres(table, 5).shape == (5, 4)
     assert max(sizes, default=0) <= 1
+
+
+def test_routing_in_blocks_is_the_plain_search(spark, monkeypatch):
+    """Votes and searches by brute force, with ties, a null and a short vector; a search of most buckets makes no row of a pair."""
+    from tidevec.operators import blocks
+
+    monkeypatch.setattr(blocks, "ROWS", 64)
+    x = np.random.default_rng(8).integers(0, 3, (300, 4)).astype(float)
+    rows = [(i, i // 30, r) for i, r in enumerate(x.tolist())]
+    v = spark.createDataFrame([*rows, (900, 2, None), (901, 2, [1.0])], "id long, ts long, v array<double>")
+    cent = spark.createDataFrame([(1000 + i, ts, r) for i, ts, r in rows[::3]], "cid long, ts long, centroid array<double>")
+    q = spark.createDataFrame([(i, r) for i, _, r in rows[::11]], "qid long, qv array<double>")
+    for probe in (8, 2):  # of ten buckets: in blocks, and by a join
+        want_votes, want = set(), set()
+        for i, _, r in rows[::11]:
+            near = sorted((sum((a - b) ** 2 for a, b in zip(c, r)), 1000 + j, ts) for j, ts, c in rows[::3])[: 10 * probe]
+            n = {ts: sum(t == ts for _, _, t in near) for _, _, ts in near}
+            want_votes |= {(i, ts, m) for ts, m in n.items()}
+            best = {ts for _, ts in sorted((-m, ts) for ts, m in n.items())[:probe]}
+            found = sorted((sum((a - b) ** 2 for a, b in zip(c, r)), j) for j, ts, c in rows if ts in best)[:10]
+            want |= {(i, rank, j, d) for rank, (d, j) in enumerate(found, 1)}
+        assert {tuple(r) for r in routing.votes(q, cent, probe).select("qid", "ts", "votes").collect()} == want_votes
+        out = routing.routed_knn(q, v, cent, probe=probe)
+        assert {tuple(r) for r in out.collect()} == want
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "zip_with" not in plan or probe == 2
