@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -272,3 +273,38 @@ def test_texts_without_repeats_are_not_shuffled(spark):
     moved = shuffled() - before
     assert moved < 200_000, moved  # the texts have 800,000 bytes
     assert {k for k, n in got.items() if n} == {0, 200} and got[0] == got[200] == 500 and len(got) == 202
+
+
+@pytest.mark.parametrize("hot", [50_000, 2])
+def test_runs_of_words_that_texts_share_are_removed(spark, hot):
+    """Shared runs of 50 words with fewer than 400 bytes, against brute force over all windows of words."""
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abcdé") for _ in range(rnd.randint(1, 6)))
+    some = lambda n: [word() for _ in range(n)]
+    fifty, short, long, endless = some(50), some(49), some(70), ["x" * 90 + "yz"[i % 2] for i in range(55)]
+    rows = [(i, " ".join(some(40) + p + some(30))) for i, p in enumerate([fifty, fifty, short, short, long, long[5:62], long[20:], fifty[:49]])]
+    rows += [(10, "\n".join(fifty)), (11, " \t".join(fifty) + "\r\n"), (12, " ".join(endless)), (13, " ".join(some(9) + endless)), (14, "be " * 52), (15, "be " * 50), (16, "no " * 50)]
+    rows += [(17, None), (18, ""), (19, " \n "), (None, rows[2][1]), (20, " ".join(fifty)[1:]), (21, " ".join(fifty + long)), (22, " ".join(fifty) + "."), (23, "\u00a0".join(fifty))]
+    texts = [(t or "").encode() for _, t in rows]
+    words = [list(re.finditer(rb"[^\x20\x09-\x0D]+", t)) for t in texts]
+    seen = {}
+    for i, w in enumerate(words):
+        for p in range(len(w) - 49):
+            seen.setdefault(tuple(x.group() for x in w[p : p + 50]), []).append((i, p))
+    marks = [np.zeros(len(t), bool) for t in texts]
+    hit = {(i, q) for places in seen.values() if len(places) > 1 for i, p in places for q in range(p, p + 50)}
+    for i, q in hit:
+        marks[i][words[i][q].start() : words[i][q + 1].start() if (i, q + 1) in hit else words[i][q].end()] = True
+    seen = {}
+    for i, t in enumerate(texts):
+        for p in range(len(t) - 399):
+            seen.setdefault(t[p : p + 400], []).append((i, p))
+    for i, p in (x for places in seen.values() if len(places) > 1 for x in places):
+        marks[i][p : p + 400] = True
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    want = sorted((repr(i), int(m.sum()), np.frombuffer(t, np.uint8)[~m].tobytes()) for (i, _), t, m in zip(rows, texts, marks))
+    got = suffixes.deduplicated(docs, ["doc_id"], hot=hot, words=50).collect()
+    assert sorted((repr(r.doc_id), r.n_removed, bytes(r.data)) for r in got) == want
+    assert sum(n > 0 for _, n, _ in want) >= 12 and suffixes.deduplicated(docs.limit(0), ["doc_id"], words=50).count() == 0
+    left = {r.doc_id: r.text for r in corpus_pipeline.no_repeated_passages(spark, docs, "").collect()}
+    assert left[10] == "" and left[17] is None and left[3] == rows[3][1] and " ".join(fifty) not in left[0] + left[1]
