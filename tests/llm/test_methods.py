@@ -1,5 +1,6 @@
 """Methods against brute force, simulations and held-out rows; columns whose names clash; the pipeline's stages."""
 
+import hashlib
 import itertools
 import random
 import re
@@ -308,3 +309,19 @@ def test_runs_of_words_that_texts_share_are_removed(spark, hot):
     assert sum(n > 0 for _, n, _ in want) >= 12 and suffixes.deduplicated(docs.limit(0), ["doc_id"], words=50).count() == 0
     left = {r.doc_id: r.text for r in corpus_pipeline.no_repeated_passages(spark, docs, "").collect()}
     assert left[10] == "" and left[17] is None and left[3] == rows[3][1] and " ".join(fifty) not in left[0] + left[1]
+
+
+def test_op7_tells_passages_of_over_50_words_that_stay(spark, tmp_path):
+    """Of fewer than 400 bytes: the contract's columns leave them, n_repeated counts them."""
+    rnd = random.Random(21)
+    some = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(3, 7))) for _ in range(n))
+    passage, short, long = some(52), some(49), some(120)
+    texts = [f"{some(30)} {passage} {some(30)}", f"{passage}\n{some(20)}", some(90), f"{some(9)} {short}", f"{short} {some(9)}", f"{some(9)} {long}", f"{long} {some(9)} {passage}", None, ""]
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in suffixes.op7_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert len(passage) < 400 < len(long) and len(rows) == len(texts)
+    contract = suffixes.deduplicated(spark.read.parquet(f"{tmp_path}/documents.parquet"), ["doc_id"]).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.data).hexdigest()) for r in contract} == {i: tuple(r)[1:5] for i, r in rows.items()}
+    assert [rows[i].n_removed > 0 for i in range(9)] == [i in (5, 6) for i in range(9)] and rows[0].kept_sha256 == hashlib.sha256(texts[0].encode()).hexdigest()
+    told = {i: r.n_repeated - r.n_removed for i, r in rows.items()}
+    assert told[0] == told[1] == told[6] == len(passage) and told[5] == 0 and all(rows[i].n_repeated == 0 for i in (2, 3, 4, 7, 8))

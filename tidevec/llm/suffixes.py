@@ -387,27 +387,31 @@ def _of_words(text: bytes, spans: list) -> list[tuple[int, int]]:
     return [(int(begins[a]), int(ends[b - 1])) for a, b in runs]
 
 
-def deduplicated(docs: DataFrame, columns: list[str], length: int = 400, hot: int = HOT, as_text: bool = False, words: int = 0) -> DataFrame:
+def deduplicated(docs: DataFrame, columns: list[str], length: int = 400, hot: int = HOT, as_text: bool = False, words: int = 0, words_stay: bool = False) -> DataFrame:
     """The columns of docs with data (the bytes left of text; as_text: a string without the halves of characters that were cut), n_bytes, n_removed, n_spans.
 
     Every byte covered by a string of `length` bytes that also starts elsewhere, in the same text or another, is removed; strings are judged
     on the input and never cross texts. With words, which is 13 or more, every run of so many words that is also found elsewhere is removed too, from its first
-    word's first byte to its last word's last; white space tells words apart and is not compared, words are compared as 64-bit hashes. Null texts are empty; texts shorter than `length` stay whole; rows with equal
+    word's first byte to its last word's last; white space tells words apart and is not compared (between two words of runs it goes with them), words are compared as 64-bit hashes. With words_stay
+    such runs are not removed, but told: n_repeated, one column more, counts the bytes that strings or runs found elsewhere cover, removed ones included. Null texts are empty; texts shorter than `length` stay whole; rows with equal
     doc_id and text are copies of each other; an empty table gives no rows.
     """
     if words and words * WORD_BYTES < GRAM:
         raise ValueError(f"runs of {words} words are too short: {-(-GRAM // WORD_BYTES)} at least")
     docs = batched(docs)
-    names = [*columns, "data", "n_bytes", "n_removed", "n_spans"]
+    counts = ["n_bytes", "n_removed", "n_spans", *["n_repeated"] * words_stay]
+    names = [*columns, "data", *counts]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = len(columns)
         for batch in batches:
-            data, sizes, gone, runs = [], [], [], []
+            data, sizes, gone, runs, repeated = [], [], [], [], []
             for text, spans, of_words in zip(batch.column(n), batch.column(n + 1), batch.column(n + 2)):
                 text = text.as_py()
                 told, said = ([(x["s"], x["e"]) for x in v.as_py() or []] for v in (spans, of_words))
-                merged = _merged(told + _of_words(text, said))
+                every = _merged(told + _of_words(text, said))
+                merged = _merged(told) if words_stay else every
+                repeated.append(sum(e - s for s, e in every))
                 sizes.append(len(text))
                 runs.append(len(merged))
                 if merged:
@@ -415,7 +419,7 @@ def deduplicated(docs: DataFrame, columns: list[str], length: int = 400, hot: in
                     text = b"".join(text[a:b] for a, b in zip(ends, [*(s for s, _ in merged), len(text)]))
                 gone.append(sizes[-1] - len(text))
                 data.append(text.decode("utf-8", "ignore") if as_text else text)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(data, pa.string() if as_text else pa.binary()), *(pa.array(x, pa.int64()) for x in (sizes, gone, runs))], names=names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(data, pa.string() if as_text else pa.binary()), *(pa.array(x, pa.int64()) for x in (sizes, gone, runs, repeated)[: len(counts)])], names=names)
 
     from pyspark.sql import types as T
 
@@ -435,10 +439,11 @@ def deduplicated(docs: DataFrame, columns: list[str], length: int = 400, hot: in
     some, others = Keys(spans, ["_k1", "_k2"]).split(keyed)
     some = some.join(spans, ["_k1", "_k2"], "left").select(*columns, "_data", "spans", "runs")
     joined = others.select(*columns, "_data", *(F.lit(None).cast(kind).alias(c) for c in ("spans", "runs"))).unionByName(some)
-    longs = [T.StructField(x, T.LongType()) for x in names[-3:]]
+    longs = [T.StructField(x, T.LongType()) for x in counts]
     return joined.mapInArrow(tidy(cut), T.StructType([*(docs.schema[c] for c in columns), T.StructField("data", T.StringType() if as_text else T.BinaryType()), *longs]))
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = deduplicated(read(spark, sf_dir, "documents"), ["doc_id"])
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("data", 256).alias("kept_sha256"))
+    """The contract's removal of 400-byte strings; n_repeated also counts runs of 50 words that occur elsewhere, which stay."""
+    out = deduplicated(read(spark, sf_dir, "documents"), ["doc_id"], words=50, words_stay=True)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("data", 256).alias("kept_sha256"), "n_repeated")
