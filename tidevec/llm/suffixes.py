@@ -8,7 +8,8 @@ splitters; each bucket sorts them by multikey quicksort, forwards and backwards,
 which windows are equal. Leading bytes too frequent for one bucket are spread over several, and windows
 found once in their bucket are then compared across buckets.
 
-Runs of a fixed number of words are found in the same way, in texts whose words are written as hashes of WORD_BYTES bytes.
+Runs of a fixed number of words are found in the same way, in texts whose words are written as hashes of WORD_BYTES bytes;
+windows and anchors then begin with a word.
 """
 
 from __future__ import annotations
@@ -37,15 +38,16 @@ SEGMENT, BUFFER = 1 << 18, 8 << 20
 
 
 class Anchors:
-    """Finds the anchors of all windows of `length` bytes in texts laid end to end."""
+    """Finds the anchors of all windows of `length` bytes in texts laid end to end; with a unit of WORD_BYTES, in texts of words' hashes (as uint64), where lengths and places are words."""
 
-    def __init__(self, length: int) -> None:
-        self.length, self.grams = length, length - GRAM + 1
+    def __init__(self, length: int, unit: int = 1) -> None:
+        self.unit, self.length, self.gram = unit, length // unit, -(-GRAM // unit)
+        self.grams = self.length - self.gram + 1
         rng = np.random.default_rng(97)
         self.table = rng.integers(0, 2**64, 256, np.uint64)
         base = 0xF1357AEA2E62A9C5
         inverse = pow(base, -1, 2**64)
-        n = SEGMENT + 2 * length
+        n = SEGMENT + 2 * self.length
         self.up = np.cumprod(np.append(np.ones(1, np.uint64), np.full(n, base, np.uint64)))
         self.down = np.cumprod(np.append(np.ones(1, np.uint64), np.full(n, inverse, np.uint64)))
 
@@ -60,12 +62,12 @@ class Anchors:
                 yield from self._segment(data[at : at + SEGMENT + self.length], ok, at)
 
     def _segment(self, data: np.ndarray, ok: np.ndarray, at: int) -> Iterator[tuple[np.ndarray, ...]]:
-        n = len(data) - GRAM + 1
+        n = len(data) - self.gram + 1
         if n < self.grams:
             return
         sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.table[data] * self.up[: len(data)], out=sums[1:])
-        h = mixed((sums[GRAM:] - sums[:-GRAM]) * self.down[:n])
+        np.cumsum((self.table[data] if self.unit == 1 else data) * self.up[: len(data)], out=sums[1:])
+        h = mixed((sums[self.gram :] - sums[: -self.gram]) * self.down[:n])
         order = (h >> np.uint64(32)).astype(np.uint32)
         low, width = order, 1
         while 2 * width <= self.grams:
@@ -100,7 +102,7 @@ def _words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class Words:
-    """Texts as hashes of their words: equal runs of words, whatever white space parts them, become equal bytes."""
+    """Texts as hashes of their words, and the word each begins with: equal runs of words, whatever white space parts them, become equal bytes."""
 
     LONG = 64
 
@@ -127,7 +129,7 @@ class Words:
             hashes[short] = mixed(np.add.reduceat(self.table[letters] * self.up[place], first) + n.astype(np.uint64))
         for i in np.flatnonzero(sizes > self.LONG).tolist():
             hashes[i] = xxhash.xxh3_64_intdigest(data[begins[i] : ends[i]].tobytes())
-        return hashes.view(np.uint8), np.searchsorted(begins, starts) * WORD_BYTES
+        return hashes, np.searchsorted(begins, starts)
 
 
 def _keys(docs: DataFrame) -> DataFrame:
@@ -143,7 +145,8 @@ def _anchors(docs: DataFrame, length: int, words: bool = False) -> DataFrame:
     """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder, hashed = Anchors(length), Words()
+        unit = WORD_BYTES if words else 1
+        finder, hashed = Anchors(length, unit), Words()
         for batch in batches:
             data, starts = flat(batch.column(2))
             if words:
@@ -153,7 +156,7 @@ def _anchors(docs: DataFrame, length: int, words: bool = False) -> DataFrame:
                 doc = np.searchsorted(starts, lo, "right") - 1
                 own = starts[doc]
                 by = np.lexsort((h, doc))
-                doc, h, at = doc[by], signed(h)[by], ((a - own << 24) | (a - lo << 12) | (a - hi))[by]
+                doc, h, at = doc[by], signed(h)[by], ((a - own << 24) | (a - lo << 12) | (a - hi))[by] * unit
                 first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])))
                 places = pa.ListArray.from_arrays(pa.array(np.append(first, len(h)), pa.int32()), pa.array(at))
                 cols = [h[first], k1[doc[first]], k2[doc[first]]]
@@ -182,10 +185,11 @@ def _suffixes(docs: DataFrame, repeated: DataFrame, length: int, words: bool = F
         for batch in batches:
             out: list[list] = [[], [], [], [], [], [], []]
             size = 0
-            for k1, k2, data, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
-                data = data.as_py()
-                if words:
-                    data = hashed.encode(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0].tobytes()
+            texts = (x.as_py() for x in batch.column(2))
+            if words:
+                hashes, starts = hashed.encode(*flat(batch.column(2)))
+                texts = (hashes[a:b].tobytes() for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()))
+            for k1, k2, data, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, batch.column(3).to_pylist()):
                 seen: dict[tuple, int] = {}
                 known: list[tuple[int, int]] = []
                 for place, salt in sorted({(x["at"], x["salt"]) for x in at}):
@@ -256,8 +260,8 @@ def multikey_quicksort(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.minimum(prefix, width)
 
 
-def repeated_windows(before: list[bytes], suffix: list[bytes], copies: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Whether the window that begins d bytes before suffix i occurs again: [i, d], and whether i is the first with it, with the least and largest d of each i."""
+def repeated_windows(before: list[bytes], suffix: list[bytes], copies: np.ndarray, length: int, unit: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Whether the window that begins d units (of so many bytes) before suffix i occurs again: [i, d], and whether i is the first with it, with the least and largest number of bytes before each i."""
     n, reach = len(suffix), length - GRAM
     right, left = np.zeros((n, length), np.uint8), np.zeros((n, reach), np.uint8)
     for i, (b, s) in enumerate(zip(before, suffix)):
@@ -265,11 +269,11 @@ def repeated_windows(before: list[bytes], suffix: list[bytes], copies: np.ndarra
         left[i, : len(b)] = np.frombuffer(b, np.uint8)[::-1]
     most = np.array([len(b) for b in before])
     least = np.array([length - len(s) for s in suffix])
-    out, one = np.zeros((n, reach + 1), bool), np.zeros((n, reach + 1), bool)
+    out, one = np.zeros((n, reach // unit + 1), bool), np.zeros((n, reach // unit + 1), bool)
     r_order, r_prefix = multikey_quicksort(right)
     l_order, l_prefix = multikey_quicksort(left)
     r_class, l_class = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    for d in range(int(least.min()), int(most.max()) + 1):
+    for d in range(int(least.min()), int(most.max()) + 1, unit):
         use = np.flatnonzero((least <= d) & (d <= most))
         if not len(use):
             continue
@@ -281,23 +285,24 @@ def repeated_windows(before: list[bytes], suffix: list[bytes], copies: np.ndarra
         twice = np.zeros(len(use), bool)
         twice[by[1:][same]] = True
         twice[by[:-1][same]] = True
-        out[use, d] = twice | (copies[use] > 1)
-        one[use[by[np.append(True, ~same)]], d] = True
+        out[use, d // unit] = twice | (copies[use] > 1)
+        one[use[by[np.append(True, ~same)]], d // unit] = True
     return out, one, least, most
 
 
-def _spans(hit: np.ndarray, a: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _spans(hit: np.ndarray, a: np.ndarray, length: int, unit: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, begin and end of the bytes that runs of true windows cover."""
     edge = np.diff(np.pad(hit, ((0, 0), (1, 1))).astype(np.int8), axis=1)
     row, first = np.nonzero(edge == 1)
     _, past = np.nonzero(edge == -1)
-    return row, a[row] - (past - 1), a[row] - first + length
+    return row, a[row] - (past - 1) * unit, a[row] - first * unit + length
 
 
-def _buckets(suffixes: DataFrame, length: int) -> DataFrame:
+def _buckets(suffixes: DataFrame, length: int, words: bool = False) -> DataFrame:
     """k1, k2, s, e: bytes to remove; or, with fp, a window of spread leading bytes, once per bucket: with its place if the bucket has it once, else without."""
     # Rows without a suffix have nothing to be sorted by: a hash spreads them.
     lead = F.coalesce(F.substring("suffix", 1, GRAM), F.unhex(F.hex(F.xxhash64("k1", "k2", "a"))))
+    unit = WORD_BYTES if words else 1
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -311,16 +316,16 @@ def _buckets(suffixes: DataFrame, length: int) -> DataFrame:
                 return
             k1, k2, a, salt, copies = (rows.column(c).to_numpy() for c in ("k1", "k2", "a", "salt", "copies"))
             before, suffix = rows.column("before").to_pylist(), rows.column("suffix").to_pylist()
-            hit, one, least, most = repeated_windows(before, suffix, copies, length)
-            row, s, e = _spans(hit, a, length)
+            hit, one, least, most = repeated_windows(before, suffix, copies, length, unit)
+            row, s, e = _spans(hit, a, length, unit)
             yield pa.RecordBatch.from_arrays([pa.array(k1[row]), pa.array(k2[row]), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32)), pa.nulls(len(row), pa.binary())], names=["k1", "k2", "s", "e", "fp"])
             # A window that this bucket has twice is told once, so that other buckets see it.
             row, d = np.nonzero(one & (salt >= 0)[:, None])
             for at in range(0, len(row), 50_000):
                 i, x = row[at : at + 50_000], d[at : at + 50_000]
-                fp = [xxhash.xxh3_128_digest((before[j] + suffix[j])[m : m + length]) for j, m in zip(i.tolist(), (most[i] - x).tolist())]
+                fp = [xxhash.xxh3_128_digest((before[j] + suffix[j])[m : m + length]) for j, m in zip(i.tolist(), (most[i] - x * unit).tolist())]
                 known = hit[i, x]
-                begin = (a[i] - x).astype(np.int32)
+                begin = (a[i] - x * unit).astype(np.int32)
                 places = [pa.array(v, mask=known) for v in (k1[i], k2[i], begin, begin + np.int32(length))]
                 yield pa.RecordBatch.from_arrays([*places, pa.array(fp, pa.binary())], names=["k1", "k2", "s", "e", "fp"])
 
@@ -353,7 +358,7 @@ def repeats(docs: DataFrame, length: int = 400, hot: int = HOT, words: bool = Fa
     once = small_enough(counts)
     met = Keys(counts, ["h"]).split(anchors)[0] if once is counts else anchors
     repeated = met.join(once, "h").select("k1", "k2", F.transform("places", lambda at: F.struct(at.alias("at"), spread(at).alias("salt"))).alias("at"))
-    found = written(_buckets(_suffixes(docs, repeated, length, **of), length))
+    found = written(_buckets(_suffixes(docs, repeated, length, **of), length, **of))
     dropped(anchors, counts)
     del repeated
     released(docs.sparkSession)
@@ -376,14 +381,11 @@ def _merged(spans: list) -> list[tuple[int, int]]:
 
 
 def _of_words(text: bytes, spans: list) -> list[tuple[int, int]]:
-    """The bytes of text from the first to the last word of each run in spans, which are ranges of the words as hashes.
-
-    A range may hold some bytes of a hash beside the run, equal by chance: the whole words in it count.
-    """
+    """The bytes of text from the first to the last word of each run in spans, which are ranges of the words as hashes."""
     if not spans:
         return []
     begins, ends = _words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
-    runs = ((-(-s // WORD_BYTES), e // WORD_BYTES) for s, e in _merged(spans))
+    runs = ((s // WORD_BYTES, e // WORD_BYTES) for s, e in _merged(spans))
     return [(int(begins[a]), int(ends[b - 1])) for a, b in runs]
 
 
