@@ -276,6 +276,32 @@ def test_texts_without_repeats_are_not_shuffled(spark):
     assert {k for k, n in got.items() if n} == {0, 200} and got[0] == got[200] == 500 and len(got) == 202
 
 
+def test_near_duplicates_shuffle_no_texts_of_others(spark, monkeypatch):
+    """As on large tables, where no table of keys is small enough for a broadcast."""
+    from tidevec.llm import jaccard
+
+    rnd = np.random.default_rng(5)
+    texts = [" ".join(rnd.bytes(100).hex() for _ in range(20)) for _ in range(300)]
+    texts += [texts[0], f"{texts[1]} end", texts[0]]
+    docs = spark.createDataFrame([(i, x, "en", "s", len(x)) for i, x in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars int")
+
+    def shuffled():
+        executors = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+        return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+    for module in (jaccard, corpus_pipeline):
+        monkeypatch.setattr(module, "small_enough", lambda df: df)
+    before, keep = shuffled(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = sorted(r.doc_id for r in corpus_pipeline.no_near_duplicates(spark, docs, "").collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
+    moved = shuffled() - before
+    assert got == list(range(300))
+    assert moved < 800_000, moved  # the texts have 1,200,000 bytes
+
+
 @pytest.mark.parametrize("hot", [50_000, 2])
 def test_runs_of_words_that_texts_share_are_removed(spark, hot):
     """Shared runs of 50 words with fewer than 400 bytes, against brute force over all windows of words."""

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .graph import components, small_enough
+from .graph import Keys, components, small_enough
 from .store import batched, dropped, read, released, written
 from .texts import mixed, signed
 from .workers import tidy
@@ -264,10 +264,11 @@ def _sets(docs: DataFrame, width: int, texts: bool = False) -> DataFrame:
 
 
 def _found(docs: DataFrame, one: DataFrame, sigs: DataFrame) -> DataFrame:
-    """The texts of docs, one of each of the sets sigs (a written table) at least: found by doc_id (one: sig, id) where there is one."""
+    """The texts of docs, one of each of the sets sigs (a written table) at least: found by doc_id (one: sig, id) where there is one. A bitmap of ids lets
+    some others through: join the sets. No text is shuffled, however many ids there are."""
     ids = written(one.filter("id is not null").join(small_enough(sigs), "sig", "left_semi").select("id").distinct())
-    named = docs.join(small_enough(ids), docs["doc_id"].cast("long") == ids["id"], "left_semi").select("text")
-    return named.unionByName(docs.filter("doc_id is null").select("text"))
+    named, _ = Keys(ids, ["id"]).split(docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text"))
+    return named.select("text").unionByName(docs.filter("doc_id is null").select("text"))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, one: DataFrame, width: int, percent: int) -> DataFrame:
