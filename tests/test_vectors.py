@@ -1,10 +1,12 @@
 import math
 import os
 import random
+import time
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidevec import catalogue
 from tidevec.operators import blocks, cells, evaluate, graph, insert, routing, search
@@ -153,6 +155,23 @@ def test_ranks_go_by_unrounded_distances(spark):
     assert {r.id for r in knn(q, v, 3).collect()} == {8, 9, 10}
 
 
+def test_hops_leave_no_shuffles_behind_and_count_queries_once(spark, tmp_path, monkeypatch):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    v = ramp(spark, 200).checkpoint()
+    chain = v.select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    counted, keep = [], search.small
+    monkeypatch.setattr(search, "small", lambda *a: counted.append(a) or keep(*a))
+    alive = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(2)
+    before = alive()
+    got = search.beam(queries_of(v, 100), v.filter("id = 0").select("id"), chain, v, k=1, hops=6, checkpoint=True)
+    time.sleep(2)
+    assert alive() - before < 12  # about those of one hop
+    assert len(counted) == 1
+    assert {(r.qid, r.id) for r in got.collect()} == {(0, 0), (100, 6)}
+
+
 def test_cells_find_the_nearest_and_split_crowded_cells(spark):
     rnd = np.random.default_rng(4)
     x = rnd.normal(size=(1500, 12))
